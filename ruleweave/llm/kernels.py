@@ -107,3 +107,36 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
         for j in range(n):
             g = g * _M2 + h[j : len(h) - n + 1 + j]
         return mix(g + U(n))
+
+
+def code_points(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the texts' offsets in them."""
+    if not len(buf):
+        return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+    lead = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    out = buf[at].astype(np.uint32)
+    for low, size, bits in ((0xC0, 2, 0x1F), (0xE0, 3, 0x0F), (0xF0, 4, 0x07)):
+        mine = np.flatnonzero((out >= low) & (out < (low | bits) + 1))
+        if len(mine):
+            value = out[mine] & bits
+            for j in range(1, size):
+                value = value << 6 | buf[at[mine] + j] & 0x3F
+            out[mine] = value | 0x80000000  # so that no later length takes it
+    out &= 0x7FFFFFFF
+    places = np.concatenate(([0], np.cumsum(lead)))
+    return out, places[offs]
+
+
+def owner(offs: np.ndarray) -> np.ndarray:
+    """The text that each element belongs to."""
+    return np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+
+
+def sums(values: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of each of n texts; own ascends."""
+    out = np.zeros((n, *values.shape[1:]), np.float64)
+    if len(own):
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] = np.add.reduceat(values, first, axis=0, dtype=np.float64)
+    return out
