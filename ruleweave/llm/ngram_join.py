@@ -7,8 +7,8 @@ Two sets link when ``100 * |intersection| >= 80 * |union|``.
 A linked pair shares a token among the first ``n - ceil(0.8 n) + 1`` tokens of both sets,
 whatever the total order of tokens is. Three orders are used, and a pair must pass all of them:
 
-* order A: by hash. One light pass over all texts; sets none of whose first tokens occurs in
-  another set's first tokens are isolated, and most texts end here.
+* order A: by hash. A pass over all texts sends twice the least prefix, as packed arrays; a linked set
+  shares more than half of that prefix, and most texts end here.
 * order B: by document frequency among the remaining sets, then hash: common passages come last,
   so they make no candidates unless they make up most of both texts.
 * order C: by the logarithm of the frequency, then another hash; tested pair by pair beside order A
@@ -74,25 +74,158 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, K.U).view(np.int64))
 
 
-def _digests(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+def _node(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes())
+
+
+def long_prefix(n: int) -> tuple[int, int]:
+    """Length of the prefix of order A that is searched, twice the least one, and how many of its
+    tokens a linked set shares at least."""
+    m = min(n, 2 * (n - needed(n) + 1))
+    return m, m - (n - needed(n))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, "text"):
             sets = list(token_sets(part))
-            node = _signed([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets])
-            n = pa.array([len(s) for s in sets], pa.int64())
-            kept = sets if whole else [s[: len(s) - needed(len(s)) + 1] if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, n, _arrays(kept)], ["doc_id", "node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n"]
+            )
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, node, tokens) of the sets that the task meets for the first time."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in K.slices(batch, "text"):
+            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), token_sets(part), strict=True):
+                node = _node(tokens)
+                if len(tokens) and node not in seen:
+                    seen.add(node)
+                    yield doc_id, node, tokens
+
+
+#: Tokens that a task holds before it sends them on; low bits of tokens and nodes that are sent.
+HELD_TOKENS = 2_000_000
+LOW = K.U((1 << 48) - 1)
+
+
+def _blobs(parts: int):
+    """Rows (part, blob): 48 bits each of tokens and of one or two different nodes that have them;
+    a token goes to the part that its other 16 bits choose."""
+
+    def pack(tokens: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        token = np.concatenate(tokens)
+        node = np.repeat(np.array(nodes, K.U) & LOW, [len(t) for t in tokens])
+        order = np.argsort(token, kind="stable")
+        token, node = token[order], node[order]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        token, lo, hi = token[first], np.minimum.reduceat(node, first), np.maximum.reduceat(node, first)
+        two = lo != hi
+        token, node = np.concatenate((token, token[two])), np.concatenate((lo, hi[two]))
+        part = (token >> K.U(48)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        token, node, part = token[order] & LOW, node[order], part[order]
+        rows = np.empty((len(token), 3), np.uint32)
+        rows[:, 0], rows[:, 1] = token & K.U(0xFFFFFFFF), (token >> K.U(32)) | (node >> K.U(32) << K.U(16))
+        rows[:, 2] = node & K.U(0xFFFFFFFF)
+        ends = np.searchsorted(part, np.arange(parts + 1))
+        use = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(use.astype(np.int32)), pa.array([rows[ends[i] : ends[i + 1]].tobytes() for i in use], pa.binary())], ["part", "blob"]
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, nodes, held = [], [], 0
+        for _, node, s in _new_sets(batches):
+            tokens.append(s[: long_prefix(len(s))[0]])
+            nodes.append(node)
+            held += len(tokens[-1])
+            if held >= HELD_TOKENS:
+                yield pack(tokens, nodes)
+                tokens, nodes, held = [], [], 0
+        if tokens:
+            yield pack(tokens, nodes)
 
-def _prefixes(batches):
-    return _digests(batches, False)
+    return run
 
 
-def _whole(batches):
-    return _digests(batches, True)
+def _live(table: pa.Table) -> pa.Table:
+    """Of one part: the low bits of the tokens that two different nodes have."""
+    rows = np.frombuffer(b"".join(table.column("blob").to_pylist()), np.uint32).reshape(-1, 3).astype(K.U)
+    token = rows[:, 0] | (rows[:, 1] & K.U(0xFFFF)) << K.U(32)
+    node = rows[:, 2] | rows[:, 1] >> K.U(16) << K.U(32)
+    order = np.argsort(token, kind="stable")
+    token, node = token[order], node[order]
+    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    two = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
+    return pa.table({"token": pa.array(token[first][two].view(np.int64))})
 
 
-_SCHEMA = "doc_id long, node long, n long, tokens array<long>"
+#: Bits of the map of live tokens that all tasks get: a fixed size; where it fills up it only lets
+#: more tokens through to the exact join.
+MAP_BITS = 1 << 24
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bitmap = np.zeros(MAP_BITS, bool)
+    for batch in batches:
+        bitmap[batch.column("token").to_numpy() & (MAP_BITS - 1)] = True
+    packed = np.packbits(bitmap).view(np.int64)
+    at = np.flatnonzero(packed)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["word", "bits"])
+
+
+def _maybe(shared):
+    """(token, node, doc_id) of prefix tokens that the map of live tokens lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.unpackbits(shared.value.view(np.uint8)).astype(bool)
+        rows: list[tuple] = []
+        held = 0
+
+        def flush():
+            sizes = [len(r[2]) for r in rows]
+            ids = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), sizes)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)), pa.array(np.repeat(np.array([r[1] for r in rows], K.U), sizes).view(np.int64)), ids],
+                ["token", "node", "doc_id"],
+            )
+
+        for doc_id, node, s in _new_sets(batches):
+            m, least = long_prefix(len(s))
+            token = s[:m] & LOW
+            token = token[bitmap[(token & K.U(MAP_BITS - 1)).astype(np.int64)]]
+            if len(token) >= least:
+                rows.append((doc_id, node, token))
+                held += len(token)
+            if held >= HELD_TOKENS // 8:
+                yield flush()
+                rows, held = [], 0
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for doc_id, node, s in _new_sets(batches):
+        rows.append((doc_id, node, s))
+        if sum(len(r[2]) for r in rows[-50:]) > HELD_TOKENS // 8 or len(rows) == 500:
+            yield _whole_batch(rows)
+            rows = []
+    if rows:
+        yield _whole_batch(rows)
+
+
+def _whole_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), _signed([r[1] for r in rows]), pa.array([len(r[2]) for r in rows], pa.int64()), _arrays([r[2] for r in rows])],
+        ["doc_id", "node", "n", "tokens"],
+    )
 
 
 def _first_tokens(tokens: np.ndarray, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,30 +309,41 @@ def components(edges: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the component) of each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = cut(docs.mapInArrow(_prefixes, _SCHEMA), "sets")
-    first = sets.select("node", F.explode("tokens").alias("token"))
-    # exact copies have one node, so a token is live when it meets two different nodes
-    live = first.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    hit = first.join(live, "token", "left_semi").select("node").distinct()
-    chosen = cut(sets.join(hit, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id")), "chosen")
-    comp = _links(docs, chosen)
-    names = sets.select("doc_id", "node", "n").join(comp, "node", "left")
-    names = names.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
+    spark = docs.sparkSession
+    sets = cut(docs.mapInArrow(_names, "doc_id long, node long, n long"), "sets")
+    comp = _links(docs, _candidates(spark, docs, sets))
+    names = sets.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     least = names.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return names.join(least, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), "doc_id").alias("component_id")
-    )
+    return names.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _candidates(spark, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, doc_id): one document of each set that order A leaves."""
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = docs.mapInArrow(_blobs(parts), "part int, blob binary")
+    live = cut(blobs.groupBy("part").applyInArrow(_live, "token long").distinct(), "live")
+    words = live.mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(MAP_BITS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    maybe = docs.mapInArrow(_maybe(spark.sparkContext.broadcast(bitmap)), "token long, node long, doc_id long")
+    found = maybe.join(live, "token").groupBy("node", "doc_id").agg(F.count("*").alias("k"))
+    found = found.join(sets.groupBy("node").agg(F.first("n").alias("n")), "node")
+    need = f"-floor(-{SHARE} * n / 100)"
+    found = found.where(f"k >= least(n, 2 * (n - {need} + 1)) - (n - {need})")
+    chosen = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"))
+    return cut(chosen, "chosen")
 
 
 def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     rows = chosen.count()
-    pick = chosen.select("doc_id")
+    pick = chosen.select("doc_id").distinct()
     picked = docs.join(F.broadcast(pick) if rows <= BROADCAST_ROWS else pick, docs.doc_id.eqNullSafe(pick.doc_id), "left_semi")
-    whole = cut(picked.mapInArrow(_whole, _SCHEMA).dropDuplicates(["node"]).select("node", "n", "tokens"), "whole")
-    each = whole.select("node", "n", F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(df, "token").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "df")).alias("live"))
-    shared = shared.where(f"100 * size(live) >= {SHARE} * n")
+    whole = picked.mapInArrow(_whole, "doc_id long, node long, n long, tokens array<long>")
+    whole = cut(whole.join(F.broadcast(chosen.select("node")) if rows <= BROADCAST_ROWS else chosen.select("node"), "node", "left_semi").select("node", "n", "tokens"), "whole")
+    each = whole.select("node", F.explode("tokens").alias("token"))
+    df = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    shared = each.join(df, "token").groupBy("node").agg(F.collect_set(F.struct("token", "df")).alias("live"))
+    shared = shared.join(whole.select("node", "n").distinct(), "node").where(f"100 * size(live) >= {SHARE} * n")
     ordered = cut(shared.mapInArrow(_order, "node long, n long, b array<long>, c array<long>"), "ordered")
     nodes = cut(whole.join(ordered.select("node", "c"), "node"), "nodes")
     member = ordered.select("node", "n", F.explode("b").alias("token"))
