@@ -35,9 +35,9 @@ WINDOW_WORDS = 8
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Width of a band in median deviations, and how it widens: times 1 + SHORT / sqrt(characters).
-BAND, SHORT = 6.0, 12.0
+BAND, SHORT = 5.0, 6.0
 #: Least deviation that a band counts with.
-LEAST_DEVIATION = 0.02
+LEAST_DEVIATION = 0.01
 
 _START = 63
 _IS_SYMBOL = np.zeros(256, bool)
@@ -48,8 +48,8 @@ _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 def symbols() -> np.ndarray:
     """Symbol (0 to 62) of each code point: small letters a to z are themselves, other letters, capitals
     and marks share classes."""
-    marks = {" ": 0, "\n": 1, ".": 53, ",": 54, "!": 55, "?": 55, "'": 56, '"': 56, "’": 56, "|": 57, "-": 59, "–": 59, "—": 59, ":": 61, ";": 61}
-    marks |= dict.fromkeys("()[]{}", 60) | dict.fromkeys("#*$%&<>", 58)
+    marks = {" ": 0, "\n": 1, ".": 49, ",": 50, "!": 51, "?": 51, "'": 52, '"': 52, "’": 52, "|": 53, "-": 54, "–": 54, "—": 54, ":": 56, ";": 56}
+    marks |= dict.fromkeys("()[]{}<>", 55) | {"#": 57, "*": 58, "$": 59, "%": 60, "&": 61}
     out = np.full(0x110000, 62, np.uint8)
     for i in range(0x110000):
         c = chr(i)
@@ -61,9 +61,9 @@ def symbols() -> np.ndarray:
         elif kind[0] == "N":
             out[i] = 2
         elif kind == "Lu":
-            out[i] = 45 + i % 8
+            out[i] = 41 + i % 8
         elif kind[0] == "L":
-            out[i] = 3 + i - 97 if 97 <= i <= 122 else 29 + i % 16
+            out[i] = 3 + i - 97 if 97 <= i <= 122 else 29 + i % 12
     return out
 
 
