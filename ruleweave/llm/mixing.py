@@ -39,10 +39,10 @@ def poisson_count(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
 
     def one(j: Column) -> Column:
         u = uniform(F.lit(seed), doc_id, j.cast("string"))
-        start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("total"), F.lit(0).alias("count"))
+        start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("total"), F.lit(0).alias("count"), u.alias("u"))
         step = lambda a, k: F.when(
-            a["total"] <= u,
-            F.struct((a["term"] * mean / k).alias("term"), (a["total"] + a["term"] * mean / k).alias("total"), (a["count"] + 1).alias("count")),
+            a["total"] <= a["u"],
+            F.struct((a["term"] * mean / k).alias("term"), (a["total"] + a["term"] * mean / k).alias("total"), (a["count"] + 1).alias("count"), a["u"].alias("u")),
         ).otherwise(a)
         return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["count"])
 

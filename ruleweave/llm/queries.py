@@ -8,6 +8,8 @@ from collections.abc import Callable
 import ruleweave
 from pyspark.sql import DataFrame, SparkSession
 
+from ruleweave.llm import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; Python workers of the session can import this package."""
@@ -102,4 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the same results, where SQL can express them.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op3_warc": oracles.WARC,
+    "op9_source_mixing": oracles.MIXING,
+}
