@@ -259,7 +259,7 @@ def loose_eq(a: Val, b: Val) -> Column:
 
 def comparable(a: Val, b: Val) -> tuple[Column, Column]:
     """Both sides as numbers; a bare numeric column beside a literal stays bare."""
-    if a.kind == b.kind == "num" and "const" and not (a.nullable and a.const is MISSING) and not (b.nullable and b.const is MISSING):
+    if a.kind == b.kind == "num" and not any(v.nullable and v.const is MISSING for v in (a, b)):
         return a.col, b.col
     return to_num(a), to_num(b)
 

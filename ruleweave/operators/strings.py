@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,12 +85,10 @@ def search(c: Compiler, a: list, s: Scope) -> Val:
         return V.NULL
     start = F.greatest(_count(numbers(c, a[2:], s)[0]), F.lit(1)) if len(a) == 3 else F.lit(1)
     find, within = F.lower(find.col), F.lower(within.col)
-    at = F.locate  # needs a literal start, so the rest is searched instead
     rest = F.substring(within, start, F.length(within))
     found = F.position(find, rest)
     place = found + start - 1
     in_bytes = F.octet_length(F.substring(within, F.lit(1), place - 1)) + 1
-    del at
     return num(F.when(find == "", start.cast("double")).when(found > 0, in_bytes.cast("double")))
 
 
@@ -136,7 +132,3 @@ def stringformat(c: Compiler, a: list, s: Scope) -> Val:
     head, tail = F.substring_index(shown, ".", 1), F.regexp_extract(shown, r"(\..*)$", 1)
     grouped = F.regexp_replace(head, r"(?<=\d)(?=(\d{3})+$)", "\u0001")
     return text(F.concat(prefix, F.replace(grouped, F.lit("\u0001"), mark), tail, suffix))
-
-
-def quote_pattern(x: str) -> str:
-    return re.escape(x)

@@ -22,7 +22,7 @@ from ruleweave.config import DEFAULT, EngineConfig, RuleError
 from ruleweave.functions import values as V
 from ruleweave.functions.values import Val
 from ruleweave.operators.tables import GeneratedTable, unwrap
-from ruleweave.paths import dotted, to_pointer
+from ruleweave.paths import dotted
 from ruleweave.plans.compiler import Compiler, is_rule, referenced
 from ruleweave.plans.joins import JoinPlan, numbered
 from ruleweave.plans.scope import Frame, Scope
@@ -277,10 +277,17 @@ class FormEngine:
         scope = self.scope()
         made = {}
         for name, rule in rules.items():
-            v = rule.value(self.compiler, scope) if isinstance(rule, GeneratedTable) else self.compiler.value(rule, scope)
+            v = rule.value(self.compiler, scope, self._gate(rule, scope)) if isinstance(rule, GeneratedTable) else self.compiler.value(rule, scope)
             made[name] = (V.clean_noise(v) if clean else v).col
         self.df = self.plan.df.withColumns(made).drop(*self.plan.added)
 
+    def _gate(self, table: GeneratedTable, scope: Scope) -> Column | None:
+        """A generated table is empty where a field that it reads breaks one of its own rules."""
+        read = {dotted(p) for p in referenced([table.plans, list(table.datas.values())])}
+        checked = [(p, f) for p, f in self.schema.fields.items() if p in read and f.node.get("rules")]
+        tests = [scope.data.find(p.split(".")).col.isNull() | self._error(p, f, scope).isNull() for p, f in checked if scope.data.find(p.split(".")) is not None]
+        return reduce(lambda x, y: x & y, tests) if tests else None
+
     def evaluate(self, paths: list[str] | None = None) -> FormEngine:
         """Adds or replaces computed columns, in dependency order; with paths, only what they need."""
         wanted = None if paths is None else self.schema.needed(paths)
@@ -423,10 +430,9 @@ class FormEngine:
         names = ["field", "type", "message", "code", "pattern", "field_value", "data"]
         return F.struct(*[p.cast("string").alias(n) for p, n in zip(parts, names, strict=True)])
 
-    def dependents(self, changed: list[str], old: str | None = None) -> DataFrame:
+    def dependents(self, changed: list[str]) -> DataFrame:
         """Propagates changes: the fields' dependents, and theirs, once each. The documents with new values, and a
         column ``changes`` of (ref, transitive, clear, value)."""
-        log: list[Column] = []
         queue = [(dotted(p), False) for p in changed]
         done: set[str] = {p for p, _ in queue}
         at = 0
@@ -455,22 +461,44 @@ class FormEngine:
                     new = F.when(set_to, cast).otherwise(cleared)
                     differs = differs | set_to
                 at += 1
-                shown = F.struct(F.lit(target).alias("ref"), F.lit(transitive).alias("transitive"), (clear & new_is_null(new)).alias("clear"), new.cast("string").alias("value"))
+                shown = F.struct(F.lit(target).alias("ref"), F.lit(transitive).alias("transitive"), (clear & new.isNull()).alias("clear"), new.cast("string").alias("value"))
                 base = self.plan.df.withColumns({f"__n{at}": new.cast(ref.type), f"__c{at}": F.when(F.coalesce(differs, F.lit(False)), shown)})
                 changes = F.when(F.col(f"__c{at}").isNotNull(), F.concat(F.col("__changes"), F.array(F.col(f"__c{at}")))).otherwise(F.col("__changes"))
                 self.df = base.withColumns({target: F.col(f"__n{at}"), "__changes": changes}).drop(f"__n{at}", f"__c{at}", *self.plan.added)
                 queue.append((target, True))
-        del log, old
         return self.df.withColumnRenamed("__changes", "changes")
 
+    def refresh(self, changed: list[str], keys: list[str]) -> DataFrame:
+        """The whole pass after a change: dependents, defaults, computed fields, read-only fields, hidden fields. A row
+        (keys, ref, value, cleared) for each field that it left with another value."""
+        before = {p: f"{p}#before" for p in self.leaves}
+        self.df = self.df.withColumns({b: F.col(f"`{p}`") for p, b in before.items()})
+        self.df = self.dependents(changed).drop("changes")
+        self.defaults().evaluate().readonly().hide()
+        moved = [
+            F.when(
+                ~F.col(f"`{p}`").cast("string").eqNullSafe(F.col(f"`{b}`").cast("string")),
+                F.struct(F.lit(p).alias("ref"), F.col(f"`{p}`").cast("string").alias("value"), F.col(f"`{p}`").isNull().alias("cleared")),
+            )
+            for p, b in before.items()
+        ]
+        rows = F.explode(F.array_compact(F.array(*moved))) if moved else F.explode(F.array().cast("array<struct<ref: string, value: string, cleared: boolean>>"))
+        out = self.df.select(*[F.col(f"`{k}`") for k in keys], rows.alias("c")).select(*keys, "c.*")
+        self.df = self.df.drop(*before.values())
+        return out
+
+    def at(self, keys: list[str], paths: list[str]) -> DataFrame:
+        """The keys and the values at the paths, named by them; a path of a group is a struct of its fields."""
+        scope = self.scope()
+        found = {p: scope.lookup(p) for p in paths}
+        return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], *[v.col.alias(dotted(p)) for p, v in found.items()])
+
     def subform(self, path: str, keys: list[str], **options) -> FormEngine:
         """The items of an array field as documents of their own, with ``_pos``; parents' fields stay visible."""
-        kind = self.df.schema[path].dataType.elementType
         root = next(iter(self.schema.subforms[path].root["properties"]))
         items = self.df.select("*", F.posexplode_outer(F.col(f"`{path}`")).alias("_pos", "__item")).drop(path)
         clash = [c for c in items.columns if c == root or c.startswith(root + ".")]
         items = items.drop(*clash).withColumnRenamed("__item", root)
-        assert isinstance(kind, T.StructType), "items of a sub-form are objects"
         schema = json.dumps(self.schema.subforms[path].root)
         return FormEngine(schema, items.where("_pos is not null"), self.tables | options.get("tables", {}), self.context, self.config)
 
@@ -539,10 +567,6 @@ class FormEngine:
         return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], F.explode(F.array_compact(F.array(*rows))).alias("l")).select(*keys, "l.*")
 
 
-def new_is_null(c: Column) -> Column:
-    return c.isNull()
-
-
 def _conditions(schema: FormSchema, path: str) -> list:
     f = schema.fields[path]
     found = [schema.fields[p].node.get("condition", {}).get("hidden") for p in f.parents if p in schema.fields]
@@ -558,7 +582,3 @@ def _compiles(pattern: str) -> bool:
     except re.error:
         return False
     return True
-
-
-def pointer_of(path: str) -> str:
-    return to_pointer(path)

@@ -88,6 +88,26 @@ def test_propagation_stops_on_cycles(spark):
     assert [[(c.ref, c.transitive) for c in r.changes] for r in out] == [[("b", False), ("c", True)], [("b", False)]]
 
 
+def test_refresh(spark):
+    schema = {"properties": {
+        "kind": {"type": "string", "dependents": [{"$ref": "size", "value": ev({"if": [{"==": [{"$ref": "$value"}, "big"]}, 10, 1]})}]},
+        "size": {"type": "number", "rules": {"maxValue": {"value": 5}}},
+        "double": {"type": "number", "value": ev({"*": [v("size"), 2]})},
+        "fixed": {"type": "string", "value": "yes", "condition": {"disabled": True}},
+        "extra": {"type": "string", "condition": {"hidden": ev({">": [v("size"), 5]})}},
+        "rows": {"$table": [{"$repeat": [1, ev(v("size")), {"n": ev({"$ref": "$iteration"})}]}]},
+    }}
+    df = spark.createDataFrame([(1, "big", 3.0, "no", "e"), (2, "small", 3.0, "no", "e")], "id int, kind string, size double, fixed string, extra string")
+    e = FormEngine(schema, df)
+    got = {(r.id, r.ref): (r.value, r.cleared) for r in e.refresh(["kind"], ["id"]).collect()}
+    assert got == {
+        (1, "size"): ("10.0", False), (1, "double"): ("20.0", False), (1, "fixed"): ("yes", False), (1, "extra"): (None, True),
+        (2, "size"): ("1.0", False), (2, "double"): ("2.0", False), (2, "fixed"): ("yes", False),
+    }
+    assert {r.id: len(r.rows) for r in e.df.collect()} == {1: 0, 2: 1}  # a size over 5 breaks its rule
+    assert [r.size for r in e.at(["id"], ["size"]).orderBy("id").collect()] == [10.0, 1.0]
+
+
 def test_subform_items_and_layout(spark):
     schema = {
         "$params": {"LOAD": 2},
