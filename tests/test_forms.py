@@ -144,6 +144,15 @@ def test_large_tables_by_bins_and_keys(spark, monkeypatch):
     assert JoinPlan(docs, {"t": table}, EngineConfig()).count("t") == 500
 
 
+def test_numbered_tables(spark):
+    from ruleweave.plans.joins import numbered
+
+    t = spark.range(0, 1000, 1, 7).selectExpr("id", "cast(id as string) as name")
+    assert numbered(t).where("_idx != id").count() == 0
+    out = evaluate(spark.range(5), {"name": {"VALUEAT": [v("t"), {"+": [v("id"), 500]}, "name"]}}, tables={"t": t})
+    assert sorted((r.id, r.name) for r in out.collect()) == [(i, str(i + 500)) for i in range(5)]
+
+
 def test_sources(spark, tmp_path, capsys):
     from ruleweave.__main__ import main
     from ruleweave.sources.documents import parse_documents, read_documents, write_documents
