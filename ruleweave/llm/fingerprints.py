@@ -27,18 +27,19 @@ from pyspark.sql import functions as F
 
 PIECE_WORDS = 12
 ROWS, BASE = 3, 8
-#: Columns that a sub-sketch is tried with.
-SIZES = [8, 16, 32, 64, 128, 256, 512]
-#: Digests that share a sub-sketch, about, when all differ.
-LOAD = 8
+#: Columns that a sub-sketch is tried with; powers of two.
+SIZES = [4, 8, 16, 32, 64, 128, 256, 512]
+#: Digests of both texts that share a sub-sketch, at most on average.
+LOAD = 6
+#: First bit of a digest that gives its column in each row; lower bits choose the sub-sketch.
+SHIFTS = [10, 28, 46]
 
 _CELL = "named_struct('n', {n}, 'k', {k}, 'h', {h})"
 _EMPTY = _CELL.format(n="0", k="0L", h="0L")
 
 
-def _place(digest: str, i: str, c: str) -> str:
-    """Whether the digest enters cell i of a sketch of c columns."""
-    return f"shiftrightunsigned({digest}, cast(10 + 18 * ({i} div {c}) as int)) % {c} = {i} % {c}"
+def _column(digest: str, row: int, c: str) -> str:
+    return f"(shiftrightunsigned({digest}, {SHIFTS[row]}) & ({c} - 1))"
 
 
 def pieces_sql(text: str) -> str:
@@ -46,40 +47,45 @@ def pieces_sql(text: str) -> str:
 
 
 def cells_sql(digests: str, c: str) -> str:
-    """The sketch of an array of digests."""
+    """The sketch of an array of digests: the cells of the first row, the second, the third."""
     entered = _CELL.format(n="a.n + 1", k="a.k ^ d", h="a.h ^ xxhash64(d)")
-    return f"transform(sequence(0, {ROWS} * {c} - 1), i -> aggregate({digests}, {_EMPTY}, (a, d) -> if({_place('d', 'i', c)}, {entered}, a)))"
+    rows = [f"transform(sequence(0, {c} - 1), j -> aggregate({digests}, {_EMPTY}, (a, d) -> if({_column('d', r, c)} = j, {entered}, a)))" for r in range(ROWS)]
+    return f"concat({', '.join(rows)})"
 
 
 def subtract_sql(x: str, y: str) -> str:
     return f"zip_with({x}, {y}, (p, q) -> {_CELL.format(n='p.n - q.n', k='p.k ^ q.k', h='p.h ^ q.h')})"
 
 
-def peel_sql(cells: str, c: str) -> str:
-    """(ok, found): whether the sketch could be emptied, and the digests with their sign."""
+def peel_sql(cells: str, c: str, most: str) -> str:
+    """(ok, found): whether the sketch could be emptied, and the digests with their sign; at most ``most`` of them."""
     pure = "get(filter(s.t, x -> abs(x.n) = 1 and x.h = xxhash64(x.k)), 0)"
-    without = f"transform(s.t, (x, i) -> if({_place('p.k', 'i', c)}, {_CELL.format(n='x.n - p.n', k='x.k ^ p.k', h='x.h ^ xxhash64(p.k)')}, x))"
-    after = f"named_struct('t', {without}, 'found', concat(s.found, array(named_struct('k', p.k, 'n', p.n))), 'stop', false)"
+    places = ", ".join(f"'i{r}', {r} * {c} + {_column('p.k', r, c)}" for r in range(ROWS))
+    held = f"named_struct('k', p.k, 'n', p.n, 'h', p.h, {places})"
+    here = " or ".join(f"i = q.i{r}" for r in range(ROWS))
+    without = f"transform(s.t, (x, i) -> if({here}, {_CELL.format(n='x.n - q.n', k='x.k ^ q.k', h='x.h ^ q.h')}, x))"
+    after = f"named_struct('t', {without}, 'found', concat(s.found, array(named_struct('k', q.k, 'n', q.n))), 'stop', false)"
+    after = f"element_at(transform(array({held}), q -> {after}), 1)"
     halted = "named_struct('t', s.t, 'found', s.found, 'stop', true)"
     step = f"if(s.stop, s, element_at(transform(array({pure}), p -> if(p is null, {halted}, {after})), 1))"
     none = "cast(array() as array<struct<k: bigint, n: int>>)"
     start = f"named_struct('t', {cells}, 'found', {none}, 'stop', false)"
     empty = "forall(s.t, x -> x.n = 0 and x.k = 0L and x.h = 0L)"
-    return f"aggregate(sequence(1, {ROWS} * {c} + 1), {start}, (s, z) -> {step}, s -> named_struct('ok', {empty}, 'found', s.found))"
+    return f"aggregate(sequence(0, {most}), {start}, (s, z) -> {step}, s -> named_struct('ok', {empty}, 'found', s.found))"
 
 
 def differences_sql(a: str, b: str, base_a: str, base_b: str) -> str:
     """The differing digests (array of (k, n), n = 1: only in a) of two arrays of digests whose base
     sketches are given; null n: a sub-sketch could not be decoded."""
     result = "struct<ok: boolean, found: array<struct<k: bigint, n: int>>>"
-    larger = peel_sql(subtract_sql(cells_sql("w.x", "c"), cells_sql("w.y", "c")), "c")
+    larger = peel_sql(subtract_sql(cells_sql("w.x", "c"), cells_sql("w.y", "c")), "c", "size(w.x) + size(w.y)")
     failed = "transform(concat(w.x, w.y), t -> named_struct('k', t, 'n', cast(null as int)))"
     tries = f"aggregate(array({', '.join(map(str, SIZES))}), cast(null as {result}), (r, c) -> if(coalesce(r.ok, false), r, {larger}), r -> if(r.ok, r.found, {failed}))"
     mine = "named_struct('x', filter({a}, t -> t & (m - 1) = g), 'y', filter({b}, t -> t & (m - 1) = g))".format(a=a, b=b)
     group = f"element_at(transform(array({mine}), w -> {tries}), 1)"
     parts = f"cast(pow(2, ceil(log2(greatest(1.0, (size({a}) + size({b})) / {LOAD}.0)))) as bigint)"
     whole = f"element_at(transform(array({parts}), m -> flatten(transform(sequence(0L, m - 1), g -> {group}))), 1)"
-    first = peel_sql(subtract_sql(base_a, base_b), str(BASE))
+    first = peel_sql(subtract_sql(base_a, base_b), str(BASE), f"{ROWS * BASE}")
     return f"element_at(transform(array({first}), f -> if(f.ok, f.found, {whole})), 1)"
 
 
