@@ -42,8 +42,9 @@ from ruleweave.llm.shared import BROADCAST_ROWS, cut
 SHINGLE = 5
 #: Links need 100 * intersection >= SHARE * union.
 SHARE = 80
-#: Rounds with one pivot per bucket before what is left is compared in full.
-PIVOT_ROUNDS = 3
+#: Most rounds with one pivot per bucket before what is left is compared in full, and the share of sets that
+#: a round must link for another one.
+PIVOT_ROUNDS, WORTH = 3, 0.5
 
 
 def needed(n):
@@ -107,7 +108,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 #: Tokens that a task holds before it sends them on; low bits of tokens and nodes that are sent.
-HELD_TOKENS = 2_000_000
+HELD_TOKENS = 1_000_000
 LOW = K.U((1 << 48) - 1)
 
 
@@ -241,14 +242,14 @@ def _first_tokens(tokens: np.ndarray, df: np.ndarray, n: int) -> tuple[np.ndarra
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = {"node": [], "n": [], "b": [], "c": []}
+        rows = {"node": [], "n": [], "live": [], "b": [], "c": []}
         for node, n, live in zip(*(batch.column(c).to_pylist() for c in ("node", "n")), _pairs(batch.column("live")), strict=True):
             b, c = _first_tokens(*live, n)
             if len(b):
-                for k, v in (("node", node), ("n", n), ("b", b), ("c", c)):
+                for k, v in (("node", node), ("n", n), ("live", len(live[0])), ("b", b), ("c", c)):
                     rows[k].append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["node"], pa.int64()), pa.array(rows["n"], pa.int64()), _arrays(rows["b"]), _arrays(rows["c"])], ["node", "n", "b", "c"]
+            [*(pa.array(rows[k], pa.int64()) for k in ("node", "n", "live")), _arrays(rows["b"]), _arrays(rows["c"])], list(rows)
         )
 
 
@@ -344,25 +345,29 @@ def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     df = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     shared = each.join(df, "token").groupBy("node").agg(F.collect_set(F.struct("token", "df")).alias("live"))
     shared = shared.join(whole.select("node", "n").distinct(), "node").where(f"100 * size(live) >= {SHARE} * n")
-    ordered = cut(shared.mapInArrow(_order, "node long, n long, b array<long>, c array<long>"), "ordered")
+    ordered = cut(shared.mapInArrow(_order, "node long, n long, live long, b array<long>, c array<long>"), "ordered")
     nodes = cut(whole.join(ordered.select("node", "c"), "node"), "nodes")
-    member = ordered.select("node", "n", F.explode("b").alias("token"))
-    comp, links, seen = None, None, None
+    # most: tokens from this one on; a linked pair meets at its first common token, so it has no more in common
+    member = ordered.select("node", "n", "live", F.posexplode("b").alias("pos", "token")).selectExpr("node", "n", "live", "token", "live - pos as most")
+    comp, links, seen, last = None, None, None, False
     for step in range(PIVOT_ROUNDS + 1):
         state = member.withColumn("comp", F.col("node")) if comp is None else member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         state = cut(state, "state")
-        split = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        if split.isEmpty():
+        buckets = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        if buckets.isEmpty():
             break
-        if step < PIVOT_ROUNDS:
-            rank = F.xxhash64("node", F.lit(step))
-            pivot = state.groupBy("token").agg(F.min(F.struct(rank, "node", "n", "comp")).alias("p")).select("token", "p.*")
-            pivot = pivot.toDF("token", "rank", "node2", "n2", "comp2")
+        last = last or step == PIVOT_ROUNDS
+        if not last:
+            # the member with the least share of tokens of its own is nearest to all others
+            rank = F.col("live") / F.col("n") if step == 0 else F.xxhash64("node", F.lit(step)).cast("double")
+            pivot = state.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "node", "n", "most", "comp")).alias("p")).select("token", "p.*").drop("rank")
+            pivot = pivot.toDF("token", "node2", "n2", "most2", "comp2")
             pairs = state.join(pivot, "token")
         else:
-            other = state.join(split, "token", "left_semi").selectExpr("token", "node as node2", "n as n2", "comp as comp2")
-            pairs = state.join(other, "token").where("node < node2")
-        pairs = pairs.where(f"comp != comp2 and 100 * least(n, n2) >= {SHARE} * greatest(n, n2)")
+            mine = state.join(buckets.select("token"), "token", "left_semi")
+            other = mine.selectExpr("token", "node as node2", "n as n2", "most as most2", "comp as comp2")
+            pairs = mine.join(other, "token").where("node < node2")
+        pairs = pairs.where(f"comp != comp2 and 100 * least(most, most2) >= {SHARE} * (n + n2 - least(most, most2))")
         pairs = pairs.select(F.least("node", "node2").alias("node"), F.greatest("node", "node2").alias("node2")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["node", "node2"], "left_anti")
@@ -372,4 +377,7 @@ def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         seen = judged.select("node", "node2") if seen is None else seen.union(judged.select("node", "node2"))
         links = found if links is None else links.union(found)
         comp = components(links)
+        if last:
+            break
+        last = found.count() < WORTH * ordered.count()
     return docs.sparkSession.createDataFrame([], "node long, comp long") if comp is None else comp
