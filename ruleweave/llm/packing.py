@@ -25,7 +25,7 @@ from ruleweave.llm import kernels as K
 from ruleweave.llm.shared import cut
 from ruleweave.llm.tokens import encoder
 
-#: Bins that one task of a merging round holds, about.
+#: Pieces, or bins of a merging round, that one task packs, about.
 MERGE_ITEMS = 100_000
 #: Partitions whose underfull bins meet in one task of the next round.
 FAN_IN = 16
@@ -76,9 +76,11 @@ def pack_pieces(items: DataFrame, capacity: int, slack: int | None = None) -> Da
     bin may keep, at most; the default is a hundredth of the capacity."""
     slack = capacity // 100 if slack is None else slack
     schema = "item long, bin long, offset long, fill long"
-    level = 0
-    placed = cut(items.select("item", "length").mapInArrow(_round(capacity, level), schema), "packed")
-    out, last, parts = placed.select("item", "bin", "offset"), placed, placed.rdd.getNumPartitions()
+    level, items = 0, items.select("item", "length")
+    tasks = max(1, -(-items.count() // MERGE_ITEMS))
+    items = items.coalesce(tasks) if items.rdd.getNumPartitions() > tasks else items.repartition(tasks)
+    placed = cut(items.mapInArrow(_round(capacity, level), schema), "packed")
+    out, last, parts = placed.select("item", "bin", "offset"), placed, tasks
     while parts > 1:
         bins = last.where(F.col("fill") < capacity - slack).groupBy("bin").agg(F.first("fill").alias("length"))
         bins = cut(bins.select(F.col("bin").alias("item"), "length"), "underfull")

@@ -44,9 +44,12 @@ def _steps(values: np.ndarray) -> np.ndarray:
     n = len(values)
     sel = np.full(n, 15, np.uint8)
     for s in range(14, -1, -1):
-        count, wide = COUNTS[s], np.concatenate(([0], np.cumsum(values >> U(BITS[s]) != 0)))
-        if n >= count:
-            sel[: n - count + 1][wide[count:] == wide[:-count]] = s
+        count, wide = COUNTS[s], values >> U(BITS[s]) != 0
+        if n < count or n - np.count_nonzero(wide) < count:
+            continue
+        before = np.zeros(n + 1, np.int32)
+        np.cumsum(wide, out=before[1:])
+        sel[: n - count + 1][before[count:] == before[:-count]] = s
     return sel
 
 

@@ -1,8 +1,9 @@
-"""Token ids of whole texts by the public tokenizers, with a bounded memo of chunks.
+"""Token ids of whole texts by the public tokenizers, with bounded memos of chunks and pieces.
 
-The tokenizers split a text into pieces that never cross certain places, so a text is cut there,
-each distinct chunk is encoded by the library once per worker, and a text's ids are its chunks' ids in
-a row. Texts with characters outside a plain Latin set go to the library whole.
+The tokenizers split a text into pieces that never cross certain places. A text is cut there into chunks (about
+a word each); a worker remembers the ids of chunks, and of the pieces that new chunks are made of, so
+the library's byte-pair model is asked once for each distinct piece. Texts with characters outside a plain
+Latin set go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,49 +13,72 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Distinct chunks that a worker remembers before it starts afresh.
-MEMO_CHUNKS = 400_000
+import regex
+
+#: Distinct chunks that a worker remembers before it starts afresh, about 200 bytes each; half as many pieces.
+MEMO = 600_000
 
 #: Texts of these characters only are cut into chunks: line feed, printable ASCII, Latin-1 and Latin
 #: Extended-A letters and signs without the soft hyphen, general punctuation, the euro sign.
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-ſ‐-‧€]*")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
+#: The patterns by which the two tokenizers split texts into pieces.
+SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+UNSPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next
+    free one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class _Memo(dict):
-    def __init__(self, encode, lead: str) -> None:
-        self.encode, self.lead = encode, lead
+    """Values made once by ``make``; starts afresh when full."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO_CHUNKS:
+    def __init__(self, make, most: int = MEMO) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-        lead = "" if chunk.startswith("\n") else self.lead
-        ids = self[chunk] = array("I", self.encode(lead + chunk, add_special_tokens=False).ids).tobytes()
-        return ids
+        made = self[key] = self.make(key)
+        return made
 
 
 class TextEncoder:
-    """bytes of little-endian unsigned 32-bit ids of a text.
-
-    spaced: the tokenizer keeps a space at the start of the next piece (byte-level pieces); else
-    white space only separates pieces and is dropped.
-    """
+    """bytes of little-endian unsigned 32-bit ids of a text."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.spaced = tokenizer.normalizer is None
-        self.whole, self.after = _Memo(tokenizer.encode, ""), _Memo(tokenizer.encode, " " if self.spaced else "")
-        self.encode = tokenizer.encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        #: byte-level pieces keep a space at the start of the next piece; else white space only separates
+        self.spaced = self.tokenizer.normalizer is None
+        letters, model = _byte_letters(), self.tokenizer.model
+
+        def piece(text: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        self.pieces = _Memo(piece, MEMO // 2)
+        of_piece = self.pieces.__getitem__
+        split = SPACED.findall if self.spaced else UNSPACED.findall
+        if self.spaced:
+            self.whole = _Memo(lambda chunk: b"".join(map(of_piece, split(chunk))))
+            self.after = _Memo(lambda chunk: b"".join(map(of_piece, split(chunk if chunk[:1] == "\n" else " " + chunk))))
+        else:
+            self.whole = _Memo(lambda chunk: b"".join(map(of_piece, split(chunk.lower()))))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if _PLAIN.fullmatch(text) is None:
-            return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not self.spaced:
             return b"".join(map(self.whole.__getitem__, text.split()))
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
