@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ruleweave.config import EngineConfig
 from ruleweave.plans.engine import evaluate, is_in, keep
 from ruleweave.plans.schema import FormEngine
+from ruleweave.sources.session import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,7 +21,7 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def v(path: str) -> dict:
