@@ -7,8 +7,8 @@ Two sets link when ``100 * |intersection| >= 80 * |union|``.
 A linked pair shares a token among the first ``n - ceil(0.8 n) + 1`` tokens of both sets,
 whatever the total order of tokens is. Three orders are used, and a pair must pass all of them:
 
-* order A: by hash. A pass over all texts sends twice the least prefix, as packed arrays; a linked set
-  shares more than half of that prefix, and most texts end here.
+* order A: by hash. A pass over all texts sends twice the least prefix, as packed arrays; linked sets
+  share about half of that prefix (``long_prefix``), and most texts end here.
 * order B: by document frequency among the remaining sets, then hash: common passages come last,
   so they make no candidates unless they make up most of both texts.
 * order C: by the logarithm of the frequency, then another hash; tested pair by pair beside order A
@@ -29,6 +29,7 @@ Equality of sets is equality of a 64-bit digest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ SHARE = 80
 #: Most rounds with one pivot per bucket before what is left is compared in full, and the share of sets that
 #: a round must link for another one.
 PIVOT_ROUNDS, WORTH = 3, 0.5
+#: From this size on a larger partner's prefix never leaves fewer live tokens than the set's own size tells.
+SMALL = 64
 
 
 def needed(n):
@@ -79,11 +82,31 @@ def _node(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
 
+def _searched(n: int) -> int:
+    """Length of the prefix of order A that is searched: twice the least one."""
+    return min(n, 2 * (n - needed(n) + 1))
+
+
+@lru_cache(1 << 16)
 def long_prefix(n: int) -> tuple[int, int]:
-    """Length of the prefix of order A that is searched, twice the least one, and how many of its
-    tokens a linked set shares at least."""
-    m = min(n, 2 * (n - needed(n) + 1))
-    return m, m - (n - needed(n))
+    """Length of the prefix of order A that is searched, and how many of its tokens are in the searched
+    prefix of a linked set at least, whatever that set's size."""
+    m = _searched(n)
+    if n >= SMALL:
+        return m, m - (n - needed(n))
+    # of c common tokens the prefixes of sizes n and k share at least the least of these two
+    shared = []
+    for k in range(max(needed(n), 1), n * 100 // SHARE + 1):
+        c = -(-SHARE * (n + k) // (100 + SHARE))
+        shared.append(min(m - (n - c), _searched(k) - (k - c)))
+    return m, min(shared, default=1)
+
+
+def least_live(n):
+    """The second of ``long_prefix`` as a column."""
+    need = F.ceil(SHARE * n / 100)
+    small = F.array(*(F.lit(long_prefix(k)[1]) for k in range(SMALL)))
+    return F.when(n < SMALL, F.get(small, n.cast("int"))).otherwise(F.least(n, 2 * (n - need + 1)) - (n - need))
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +352,7 @@ def _candidates(spark, docs: DataFrame, sets: DataFrame) -> DataFrame:
     maybe = docs.mapInArrow(_maybe(spark.sparkContext.broadcast(bitmap)), "token long, node long, doc_id long")
     found = maybe.join(live, "token").groupBy("node", "doc_id").agg(F.count("*").alias("k"))
     found = found.join(sets.groupBy("node").agg(F.first("n").alias("n")), "node")
-    need = f"-floor(-{SHARE} * n / 100)"
-    found = found.where(f"k >= least(n, 2 * (n - {need} + 1)) - (n - {need})")
+    found = found.where(F.col("k") >= least_live(F.col("n")))
     chosen = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"))
     return cut(chosen, "chosen")
 

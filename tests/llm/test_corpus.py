@@ -95,6 +95,35 @@ def test_pairs_and_filters():
             assert set(c[0][0].tolist()) & set(c[1][0].tolist())
 
 
+def test_prefix_shares_at_the_boundary(spark):
+    from ruleweave.llm import ngram_join as J
+
+    r = np.random.default_rng(2)
+    for n in range(1, 51):
+        for m in range(n, n * 100 // 80 + 1):
+            for c in range(-(-80 * (n + m) // 180), n + 1):
+                for _ in range(20):
+                    t = r.permutation(n + m - c)
+                    sets = np.sort(t[:n]), np.sort(np.concatenate((t[:c], t[n:])))
+                    live = np.intersect1d(*(s[: J.long_prefix(len(s))[0]] for s in sets))
+                    assert all(len(live) >= J.long_prefix(len(s))[1] for s in sets), (n, m, c)
+    sizes = spark.range(1, 600).select("id", J.least_live(F.col("id")).alias("k")).collect()
+    for x in sizes:
+        m, need = min(x.id, 2 * (x.id - J.needed(x.id) + 1)), range(J.needed(x.id), x.id * 100 // 80 + 1)
+        shared = [min(m - (x.id - c), min(k, 2 * (k - J.needed(k) + 1)) - (k - c)) for k in need for c in (-(-80 * (x.id + k) // 180),)]
+        assert x.k == J.long_prefix(x.id)[1] == min(shared) >= 1
+    # pairs of texts with words of their own: n shingles, and the same text with words added at an end
+    rows, expected = [], {}
+    for n in range(1, 51):
+        for m in range(n, n * 100 // 80 + 2):
+            a = len(rows)
+            words = [f"w{a}x{i}" for i in range(m + 4)]
+            rows += [(a, " ".join(words[: n + 4])), (a + 1, " ".join(words if m % 2 else words[n + 4 :] + words[: n + 4]))]
+            expected |= {a: a, a + 1: a if 100 * n >= 80 * m else a + 1}
+    got = J.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {g.doc_id: g.component_id for g in got} == expected
+
+
 def pieces(t):
     return set(re.findall(r"(?:[^ \n]+ *){1,12}", t))
 
