@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay; those without a letter go."""
+    """Documents that the model takes for one of the learned languages stay; other languages, scripts and gibberish go."""
     return keep_languages(docs.select(*COLUMNS))
 
 

@@ -4,6 +4,9 @@ Texts are lower-cased, runs of non-letters become one space. Counts by (language
 Spark; the matrix of log-probabilities (languages x BUCKETS floats, whatever the corpus) is broadcast,
 and batches of texts are scored by gathering and summing its rows.
 
+The pipeline's stage keeps a text only if its n-grams are about as probable in the predicted language as
+those that the language was learned from.
+
 Cases: null text or no letter: ``und`` with score 0. Null language: never learned from. Nothing
 to learn from: ``und`` everywhere. Null doc_id: neither learned from nor held out. Repeated
 rows count each. Other columns are ignored, or kept by ``keep_languages``.
@@ -27,6 +30,10 @@ BUCKETS = 1 << 16
 #: Added to every count.
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: A text is in the language that it is predicted to be in if its n-grams gain (log-probability above that of an
+#: n-gram never learned, on average) no less than the language's own n-grams by FAR + SHORT / sqrt(n-grams)
+#: of their deviations, and at least LEAST of what these gain.
+FAR, SHORT, LEAST = 1.25, 4.0, 0.25
 
 
 @lru_cache(1)
@@ -97,16 +104,38 @@ class Model:
         docs[which[bucket < 0]] = n[bucket < 0]
         self.table = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32)
         self.prior = np.log(docs / max(docs.sum(), 1)) if len(place) else docs
+        # mean and deviation of the gain of each learned n-gram by a model of all others
+        all_grams = counts.sum(0)
+        self.floor = np.log(SMOOTHING / (all_grams + SMOOTHING * BUCKETS))
+        gain, size = np.log(np.maximum(counts - 1, 0) / SMOOTHING + 1), np.maximum(all_grams, 1)
+        self.gain = (counts * gain).sum(0) / size
+        self.deviation = np.sqrt(np.maximum((counts * gain**2).sum(0) / size - self.gain**2, 0))
+
+    def _totals(self, bucket: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        total = np.zeros((n, len(self.languages)))
+        step = max(1 << 12, (1 << 22) // len(self.languages))
+        for a in range(0, len(bucket), step):
+            total += K.sums(self.table[bucket[a : a + step]], own[a : a + step], n)
+        return total
+
+    def known(self, column) -> np.ndarray:
+        """Whether each text is like the learned texts of the language it is predicted to be in."""
+        bucket, own, has = features(column)
+        if not self.languages:
+            return np.zeros(len(has), bool)
+        total = self._totals(bucket, own, len(has))
+        best = (total + self.prior).argmax(1)
+        grams = np.maximum(np.bincount(own, minlength=len(has)), 1)
+        gain = total[np.arange(len(has)), best] / grams - self.floor[best]
+        usual = self.gain[best] - self.deviation[best] * (FAR + SHORT / np.sqrt(grams))
+        # float32 sums differ from the floor by a little where no n-gram is known
+        return has & (gain >= np.maximum(usual, LEAST * self.gain[best])) & (gain > 1e-4)
 
     def predict(self, column) -> tuple[list[str], np.ndarray]:
         bucket, own, has = features(column)
         if not self.languages:
             return [UNKNOWN] * len(has), np.zeros(len(has))
-        total = np.zeros((len(has), len(self.languages)))
-        step = max(1 << 12, (1 << 22) // len(self.languages))
-        for a in range(0, len(bucket), step):
-            total += K.sums(self.table[bucket[a : a + step]], own[a : a + step], len(has))
-        total += self.prior
+        total = self._totals(bucket, own, len(has)) + self.prior
         total = np.exp(total - total.max(1, keepdims=True))
         best = total.argmax(1)
         score = total[np.arange(len(has)), best] / total.sum(1)
@@ -125,10 +154,10 @@ def _predict(shared, pass_on: bool):
         model = shared.value
         for batch in batches:
             for part in K.slices(batch, "text"):
-                lang, score = model.predict(part.column("text"))
                 if pass_on:
-                    yield part.filter(pa.array([x != UNKNOWN for x in lang]))
+                    yield part.filter(pa.array(model.known(part.column("text"))))
                 else:
+                    lang, score = model.predict(part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -147,6 +176,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a known language: rows without a letter go."""
+    """The rows of ``docs``, all columns, whose text is in a known language: rows without a letter go, and rows
+    whose n-grams are too rare in the language predicted for them (``Model.known``), as those of languages and scripts
+    never learned or of letters without sense. Given values of ``lang`` are left as they are."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out())))
     return docs.mapInArrow(_predict(model, True), docs.schema)

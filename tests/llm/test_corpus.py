@@ -281,6 +281,29 @@ def test_language(spark, none):
     assert {g.lang_pred for g in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_keep_languages_decides_by_the_model(spark):
+    from ruleweave.llm.language import keep_languages
+
+    r = random.Random(8)
+    parts = {"aa": "ka ro mi tu zo", "bb": "sch ung ein der lich", "cc": "qua plo wex"}
+
+    def say(pieces, words):
+        return " ".join("".join(r.choice(pieces.split()) for _ in range(3)) for _ in range(words))
+
+    rows = [(i, say(parts[x], r.randint(4, 60)), x) for i in range(400) for x in [r.choice(("aa", "bb"))]]
+    rows += [(i, say(parts["cc"], 20), "cc") for i in range(400, 408)]  # few to learn from
+    clean = {x[0] for x in rows}
+    noise = "".join(map(chr, range(97, 123)))
+    odd = ["".join(r.choice(noise) for _ in range(n)) for n in (80, 300)] + [" ".join("".join(r.choice(noise) for _ in range(6)) for _ in range(n)) for n in (15, 100)]
+    odd += ["Это обычное предложение о погоде и о море", "今日は天気がいいので散歩に行きました今日は", "Ένα μικρό κείμενο για τη θάλασσα και τον ήλιο"]
+    rows += [(900 + i, t, ("aa", None)[i % 2]) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # learned from clean rows only where the odd ones are held out or without a language
+    learn = docs.withColumn("lang", F.when(F.col("doc_id") < 900, F.col("lang")))
+    kept = keep_languages(learn)
+    assert {x.doc_id for x in kept.collect()} == clean and kept.columns == docs.columns
+
+
 def test_resampling(spark):
     from ruleweave.llm.resampling import importance_sample, kth_largest, log_ratios, resample
 
