@@ -6,11 +6,15 @@ ratio of their probabilities. Adding Gumbel noise and taking the k largest keys
 replacement in proportion to the weights. Without a given k it is the expected number of target
 documents, the sum over all documents of min(1, share of good labels x weight).
 
+In the raw model each document counts by its language's share of characters in target text against that in
+raw text, so that a language that is rarer among the labelled good loses nothing by it.
+
 Target text comes from at most TARGET_DOCS labelled documents, the first by a hash of their ids;
 counts of raw text cover every document. Both models are arrays of 2 x BUCKETS numbers.
 
 Cases: null or empty text has weight 0 in the log. Null labels count as not good; a document with
-contradicting labels is not good. No good label: all weights are equal. Null doc_id: no label. Repeated
+contradicting labels is not good. No good label: all weights are equal. A language without a good
+label: its n-grams that no other language has tell nothing. Null language: one with the empty one. Null doc_id: no label. Repeated
 rows get the same key; ties at the k-th key are all kept. Other columns are kept by ``resample``.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm import kernels as K
-from ruleweave.llm.shared import cut
+from ruleweave.llm.shared import cut, join_checked
 
 #: Buckets of words, and as many of character 4-grams.
 BUCKETS = 1 << 16
@@ -32,6 +36,8 @@ BUCKETS = 1 << 16
 TARGET_DOCS = 20_000
 #: Pseudo-counts that pull rare buckets' ratios towards 1.
 SMOOTHING = 4.0
+#: Raw n-grams count in units of its inverse, so that sums are whole numbers, the same in any order.
+UNIT = 1 << 30
 SEED = 20_011
 
 
@@ -58,7 +64,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batch, "text"):
             good = part.column("good").to_numpy(zero_copy_only=False)
             bucket, own = features(part)
-            raw += np.bincount(bucket, minlength=2 * BUCKETS)
+            share = part.column("share").to_numpy().astype(np.float64)
+            raw += np.bincount(bucket, share[own], 2 * BUCKETS).astype(np.int64)
             target += np.bincount(bucket[good[own]], minlength=2 * BUCKETS)
     at = np.flatnonzero(raw)
     if len(at):
@@ -100,8 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     )
     share = by_doc.agg(F.avg(F.col("good").cast("int"))).first()[0] or 0.0
     good = by_doc.where("good").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TARGET_DOCS)
-    marked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(good), "doc_id", "left")
-    counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket int, raw long, target long")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    marked = docs.select(F.col("doc_id").cast("long"), "text", lang.alias("lang")).join(F.broadcast(good), "doc_id", "left")
+    marked = marked.withColumn("good", F.coalesce("good", F.lit(False)))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    shares = cut(marked.groupBy("lang").agg(F.sum(size).alias("raw"), F.sum(F.when(F.col("good"), size).otherwise(0)).alias("target")), "shares")
+    shares = shares.select("lang", F.when(F.col("raw") > 0, F.round(F.col("target") / F.col("raw") * UNIT)).otherwise(0).cast("long").alias("share"))
+    counted = join_checked(marked, shares, ["lang"], "left").select("text", "good", "share").mapInArrow(_count, "bucket int, raw long, target long")
     table = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     return log_ratios(*(table.column(c).to_numpy() for c in ("bucket", "raw", "target"))), share
 

@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -331,6 +332,40 @@ def test_resampling(spark):
     assert ratios[0] > 0 > ratios[1]
 
 
+def test_resampling_takes_no_language_away(spark):
+    from ruleweave.llm.resampling import importance_sample
+
+    r = random.Random(10)
+    words = {"aa": ["ka", "ro", "mi", "tu", "zo"], "bb": ["schung", "einder", "lich", "dass", "und"], None: ["qu", "wex", "plo"]}
+    rows, labels = [], []
+    for i in range(600):
+        lang, good = r.choice(("aa", "aa", "bb", None)), r.random() < 0.8
+        rows.append((i, " ".join("".join(r.choices(words[lang], k=2)) + ("" if good else "$$$") for _ in range(200)), lang))
+        # most of the good of bb have no label
+        labels += [(i, int(good), 0)] if r.random() < (0.15 if lang == "bb" else 0.6) else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in importance_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for lang in words:
+        good = {i for i, t, x in rows if x == lang and "$" not in t}
+        bad = {i for i, t, x in rows if x == lang and "$" in t}
+        assert len(good & kept) >= 0.95 * len(good) and len(bad & kept) <= 0.1 * len(bad), lang
+
+
+def test_resampling_keeps_good_of_each_language(spark):
+    from ruleweave.llm.resampling import importance_sample
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {x.doc_id for x in importance_sample(docs, labels).collect()}
+    marks = {x.doc_id: x.quality == 1 and x.toxic == 0 for x in labels.collect()}
+    by = defaultdict(list)
+    for x in docs.select("doc_id", "lang").collect():
+        by[x.lang] += [x.doc_id in kept] if marks.get(x.doc_id) else []
+    assert len(by) >= 4 and all(np.mean(k) >= 0.95 for k in by.values()), {x: np.mean(k) for x, k in by.items()}
+
+
 def test_quality_rules(docs, none):
     from ruleweave.llm.quality_rules import quality_rules
 
