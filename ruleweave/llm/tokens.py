@@ -3,7 +3,7 @@
 The tokenizers split a text into pieces that never cross certain places. A text is cut there into chunks (about
 a word each); a worker remembers the ids of chunks, and of the pieces that new chunks are made of, so
 the library's byte-pair model is asked once for each distinct piece. Texts with characters outside a plain
-Latin set go to the library whole.
+Latin set, or with a special token where these have their own ids, go to the library whole.
 """
 
 from __future__ import annotations
@@ -50,14 +50,18 @@ class _Memo(dict):
 
 
 class TextEncoder:
-    """bytes of little-endian unsigned 32-bit ids of a text."""
+    """bytes of little-endian unsigned 32-bit ids of a text. literal: special tokens in a text are
+    encoded as the characters they are written with, else (the library's default) as their own ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: finds a special token; pieces and chunks would split it
+        self.special = re.compile("|".join(map(re.escape, added))).search if added else None
         #: byte-level pieces keep a space at the start of the next piece; else white space only separates
         self.spaced = self.tokenizer.normalizer is None
         letters, model = _byte_letters(), self.tokenizer.model
@@ -77,7 +81,7 @@ class TextEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _PLAIN.fullmatch(text) is None:
+        if _PLAIN.fullmatch(text) is None or self.special is not None and self.special(text) is not None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not self.spaced:
             return b"".join(map(self.whole.__getitem__, text.split()))
@@ -89,5 +93,5 @@ class TextEncoder:
 
 @lru_cache(4)
 def encoder(path: str) -> TextEncoder:
-    """One encoder per worker process and vocabulary file."""
-    return TextEncoder(path)
+    """One encoder per worker process and vocabulary file, with the library's default for special tokens."""
+    return TextEncoder(path, literal=False)

@@ -207,6 +207,30 @@ def test_memo_encoder(name, end):
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+SPECIAL = ["first part <|endoftext|> second part", "<|endoftext|>", "a<|startoftext|>b\n\n<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "日 <|endoftext|><|endoftext|> x"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_as_the_library(spark, name):
+    from tokenizers import Tokenizer
+
+    from ruleweave.llm.packing import pack_documents
+    from ruleweave.llm.token_files import read_token_files, write_token_files
+    from ruleweave.llm.tokens import encoder
+
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    ids = [t.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+    assert [np.frombuffer(encoder(path)(x), "<u4").tolist() for x in SPECIAL] == ids
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    end = 0 if name.startswith("byte") else 1
+    crc = {d: (len(x) + 1, zlib.crc32(np.array([*x, end], "<u4").tobytes())) for d, x in enumerate(ids)}
+    if end:
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(docs, path).collect()} == crc
+    else:
+        assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in read_token_files(spark, write_token_files(docs, path)).collect()} == crc
+
+
 def test_token_files(docs, none, spark):
     from tokenizers import Tokenizer
 
