@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ruleweave.llm.language import keep_languages
 from ruleweave.llm.mixing import replicate
@@ -30,9 +31,13 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near copies stays."""
-    gone = ngram_components(docs).where("doc_id != component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group of near copies stays: that of least doc_id, null ids last. Rows are told apart by a
+    number of their own, so repeated and null ids are judged each by its own text."""
+    rows = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_components(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min(order).getField("row").alias("row"))
+    return rows.join(first.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

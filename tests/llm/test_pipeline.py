@@ -99,3 +99,14 @@ def test_stages(spark):
         bins[r.sequence_id].append((r.offset, r.length))
     assert all([o for o, _ in sorted(b)] == np.cumsum([0, *[n for _, n in sorted(b)]])[:-1].tolist() for b in bins.values())
     assert len(bins) <= 1.05 * sum(r.length for r in rows) / 4096 + 1
+
+
+def test_near_copies_of_odd_ids(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    near = texts["a"] + " end"
+    rows = [(1, texts["a"]), (2, near), (2, texts["b"]), (3, texts["c"]), (3, texts["c"]), (None, near), (None, texts["d"]), (None, texts["d"]), (None, ""), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.drop_near_copies(spark, docs, "")
+    assert got.columns == P.COLUMNS
+    expected = [(1, texts["a"]), (2, texts["b"]), (3, texts["c"]), (None, texts["d"]), (None, ""), (4, None)]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(expected)
