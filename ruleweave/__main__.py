@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         docs = docs.withColumn("_doc", F.monotonically_increasing_id())
         engine = FormEngine(read_schema(a.schema), docs, context=context, config=config).defaults().evaluate(a.path)
-        out = engine.validate(["_doc"]) if a.validate else engine.df
+        out = engine.validate(["_doc"]) if a.validate else engine.documents()
     if a.output:
         write_documents(out, a.output)
     else:

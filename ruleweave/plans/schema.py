@@ -8,6 +8,7 @@ named by their dotted path; nested structs of the data are opened first.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 from graphlib import CycleError, TopologicalSorter
@@ -23,6 +24,7 @@ from ruleweave.functions import values as V
 from ruleweave.functions.values import Val
 from ruleweave.operators.tables import GeneratedTable, unwrap
 from ruleweave.paths import dotted
+from ruleweave.plans.changes import Propagation, change, either
 from ruleweave.plans.compiler import Compiler, is_rule, referenced
 from ruleweave.plans.joins import JoinPlan, numbered
 from ruleweave.plans.scope import Frame, Scope
@@ -80,6 +82,29 @@ class FormSchema:
     def of(schema: dict | str) -> FormSchema:
         return _parsed(schema if isinstance(schema, str) else json.dumps(schema))
 
+    def attached(self) -> list[tuple[str, list]]:
+        """Layouts (owner, elements) that no layout element shows as part of another."""
+        refs = {dotted(e["$ref"]) for elements in self.layouts.values() for e in _flat(elements) if "$ref" in e}
+        return [(p, elements) for p, elements in self.layouts.items() if not p or p not in refs]
+
+    def places(self) -> list[tuple[str, list[dict]]]:
+        """Fields that layout elements show, with the elements and fields around each, its own element last."""
+        out: list[tuple[str, list[dict]]] = []
+
+        def walk(elements: list, around: list[dict]) -> None:
+            for e in elements:
+                f = self.fields.get(dotted(e["$ref"])) if "$ref" in e else None
+                inner = [*around, *([f.node] if f else []), e]
+                if "$ref" in e:
+                    out.append((dotted(e["$ref"]), inner))
+                nested = e.get("elements") or (f.node.get("$layout", {}).get("elements") if f else None)
+                if nested and not any(f is not None and f.node is x for x in around):
+                    walk(nested, inner)
+
+        for _, elements in self.attached():
+            walk(elements, [])
+        return out
+
     def dependencies(self) -> dict[str, set[str]]:
         """Computed names and the computed names they read: paths by any ancestor or descendant."""
         rules = self.rules()
@@ -124,6 +149,24 @@ class FormSchema:
         return seen
 
 
+def _flat(elements: list) -> list[dict]:
+    return [x for e in elements for x in (e, *_flat(e.get("elements", [])))]
+
+
+@dataclass
+class Element:
+    """A layout element: its layout and place, the field it shows, its flags (None: never) and name."""
+
+    layout: str
+    place: int
+    ref: str | None
+    hidden: Column | None
+    by_condition: Column | None
+    disabled: Column | None
+    around: Column | None
+    name: str
+
+
 def _params(node: Any, path: str = "") -> list[tuple[str, Any]]:
     """(path, rule) of each parameter; rule None: a constant or table at that path."""
     out: list[tuple[str, Any]] = []
@@ -206,6 +249,28 @@ def nested(df: DataFrame, paths: list[str]) -> Column:
     return build(tree)
 
 
+def _set(item: Column, kind: T.StructType, values: dict[str, tuple[Column, T.DataType]]) -> tuple[Column, T.StructType]:
+    """A struct with fields of dotted names set, and its type."""
+    heads: dict[str, dict] = {}
+    for name, v in values.items():
+        head, _, rest = name.partition(".")
+        heads.setdefault(head, {})[rest] = v
+    out, fields = [], []
+    for name in dict.fromkeys([*kind.names, *heads]):
+        own = kind[name].dataType if name in kind.names else None
+        if name not in heads:
+            col, of = item.getField(name), own
+        elif "" in heads[name]:
+            col, of = heads[name][""]
+            col = col.cast(of)
+        else:
+            known = isinstance(own, T.StructType)
+            col, of = _set(item.getField(name) if known else F.lit(None), own if known else T.StructType([]), heads[name])
+        out.append(col.alias(name))
+        fields.append(T.StructField(name, of))
+    return F.struct(*out), T.StructType(fields)
+
+
 class _Tree(Frame):
     """Finds dotted columns by the longest name that starts a path."""
 
@@ -234,6 +299,10 @@ class _Tree(Frame):
         return None
 
 
+def _quoted(keys: list[str]) -> list[Column]:
+    return [F.col(f"`{k}`") for k in keys]
+
+
 def is_empty(v: Val) -> Column:
     """Null, the empty text or the empty list."""
     if v.kind == "str":
@@ -294,27 +363,75 @@ class FormEngine:
         rules = self.schema.rules()
         for batch in self.schema.batches():
             names = [n for n in batch if wanted is None or n in wanted]
+            given = [n for n in names if n in self.leaves and n in self.inputs and f"{n}#given" not in self.df.columns]
+            self.df = self.df.withColumns({f"{n}#given": F.col(f"`{n}`") for n in given}) if given else self.df
             self.add({n: self.schema.tables.get(n, rules[n]) for n in names})
             self.computed += [n for n in names if n not in self.computed]
         return self
 
-    def flag(self, rule: Any, scope: Scope) -> Column:
-        """A condition: true only if it is exactly true."""
+    def flag(self, rule: Any, scope: Scope) -> Column | None:
+        """A condition: true only if it is exactly true. None: never."""
         if isinstance(rule, bool):
-            return F.lit(rule)
+            return F.lit(True) if rule else None
         inner = evaluation(rule)
         if inner is None and not is_rule(rule):
-            return F.lit(False)
+            return None
         v = self.compiler.value(inner if inner is not None else rule, scope)
-        return F.coalesce(v.col, F.lit(False)) if v.kind == "bool" else F.lit(False)
+        return F.coalesce(v.col, F.lit(False)) if v.kind == "bool" else None
 
     def hidden(self, path: str, scope: Scope) -> Column:
-        """Hidden by its own condition, that of an ancestor, or a hidden layout."""
+        """Hidden by its own condition, that of a group around it, a hidden layout, or in every layout element that
+        shows it."""
         f = self.schema.fields[path]
-        chain = [self.schema.fields[p] for p in f.parents if p in self.schema.fields] + [f]
         if any(p in self.schema.hidden_all for p in ("", *f.parents, path)):
             return F.lit(True)
-        return reduce(lambda x, y: x | y, [self.flag(x.condition("hidden"), scope) for x in chain])
+        out = either(self._by_condition(path, scope), self._by_layout(path, scope, 0))
+        return F.lit(False) if out is None else out
+
+    def _by_condition(self, path: str, scope: Scope) -> Column | None:
+        fields = self.schema.fields
+        return either(*(self.flag(fields[p].condition("hidden"), scope) for p in (*fields[path].parents, path) if p in fields))
+
+    def _by_layout(self, path: str, scope: Scope, kind: int) -> Column | None:
+        """Whether all elements that show the field, or a group around it, are hidden (0), by conditions alone (1)."""
+        if not self.schema.layouts:
+            return None
+        shown: dict[str, list] = {}
+        for e in self._elements(scope):
+            if e.ref in (*self.schema.fields[path].parents, path):
+                shown.setdefault(e.ref, []).append(e.hidden if kind == 0 else e.by_condition)
+        return either(*(reduce(lambda x, y: x & y, flags) for flags in shown.values() if all(x is not None for x in flags)))
+
+    def _elements(self, scope: Scope) -> list[Element]:
+        """The elements of the layouts, each with what it takes over from the elements around it."""
+        if getattr(self, "_laid", (None,))[0] is scope:
+            return self._laid[1]
+        out: list[Element] = []
+
+        def walk(path: str, full: str, elements: list, hidden, condition, disabled, above: tuple) -> None:
+            for i, e in enumerate(elements):
+                ref = dotted(e["$ref"]) if "$ref" in e else None
+                f = self.schema.fields.get(ref) if ref else None
+                node = {**f.node.get("$layout", {}), **f.node, **e} if f else e
+                conditions = (f.node.get("condition", {}) if f else {}) | e.get("condition", {})
+                own = self.flag(conditions.get("hidden", False), scope)
+                by = either(condition, own)
+                away = F.lit(True) if node.get("hideLayout", {}).get("all") is True else None
+                h, d = either(hidden, own, away), either(disabled, self.flag(conditions.get("disabled", False), scope))
+                name = ref or f"{full}.{i}"
+                out.append(Element(path, i, ref, h, by, d, hidden, name))
+                if node.get("elements") and ref not in above:
+                    walk(f"{path}.{i}" if path else str(i), f"{full}.{i}.elements", node["elements"], h, by, d, (*above, ref) if ref else above)
+
+        for path, elements in self.schema.attached():
+            top = F.lit(True) if path in self.schema.hidden_all else None
+            walk(path, f"{path}.$layout.elements".lstrip("."), elements, top, None, None, ())
+        self._laid = (scope, out)
+        return out
+
+    def documents(self) -> DataFrame:
+        """The documents with computed fields, without columns of the engine's own."""
+        return self.df.select(*[F.col(f"`{c}`") for c in self.df.columns if "#" not in c])
 
     def visibility(self) -> DataFrame:
         """A boolean column ``path#hidden`` for each field."""
@@ -334,34 +451,68 @@ class FormEngine:
             self.df = self.plan.df.withColumns(made)
         return self
 
+    def _own(self, path: str) -> Val:
+        return Val(F.col(f"`{path}`"), self.df.schema[path].dataType)
+
     def readonly(self) -> FormEngine:
         """Disabled fields with a value of the schema's take it."""
-        scope, made = self.scope(), {}
+        self._sync(None)
+        return self
+
+    def _sync(self, steps: Propagation | None) -> list:
+        """Read-only fields; those that changed, and in which rows."""
+        scope, made, out = self.scope(), {}, []
         for p in self.leaves:
             f = self.schema.fields[p]
-            if f.default is not None and not f.config("skipReadOnlyValue"):
-                own = scope.data.find(p.split("."))
-                made[p] = F.when(self.flag(f.condition("disabled"), scope), V.literal(f.default).col.cast(own.type)).otherwise(own.col)
-        if made:
-            self.df = self.plan.df.withColumns(made)
-        return self
+            if (f.default is None and f.rule is None) or f.config("skipReadOnlyValue") or (off := self.flag(f.condition("disabled"), scope)) is None:
+                continue
+            own = scope.data.find(p.split("."))
+            value = own.col if f.rule is not None else V.literal(f.default).col.cast(own.type)
+            made |= {f"{p}#off": off, f"{p}#moved": off & ~value.eqNullSafe(own.col), p: F.when(off, value).otherwise(own.col)}
+            out.append(p)
+        self.df = self.plan.df.withColumns(made) if made else self.df
+        for p in out if steps else []:
+            steps.log(F.col(f"`{p}#off`"), change(p, F.col(f"`{p}`").cast("string"), is_empty(self._own(p)), readonly=True))
+        changed = [(p, True, F.col(f"`{p}#moved`")) for p in out]
+        queue = [(p, t, F.col(f"`{steps._flag(c)}`")) for p, t, c in changed] if steps else []
+        self.df = self.df.drop(*[f"{p}#{x}" for p in out for x in ("off", "moved")])
+        return queue
 
     def hide(self) -> FormEngine:
-        """Hidden fields are emptied, in the order in which their conditions read each other."""
-        reads = {p: {dotted(r) for r in referenced(_conditions(self.schema, p))} for p in self.leaves}
+        """Fields hidden by a condition are emptied, in the order in which their conditions read each other."""
+        self._hide(None)
+        return self
+
+    def _hide(self, steps: Propagation | None) -> list:
+        """Empties hidden fields; those that had a value, and in which rows."""
+        reads = {p: {dotted(r) for r in referenced(self._conditions(p))} for p in self.leaves}
         order = TopologicalSorter({p: {q for q in self.leaves if q != p and q in reads[p]} for p in self.leaves})
         try:
             ordered = list(order.static_order())
         except CycleError:
             ordered = list(self.leaves)
+        queue = []
         for p in ordered:
-            f = self.schema.fields[p]
-            if _conditions(self.schema, p) or any(x in self.schema.hidden_all for x in ("", *f.parents, p)):
-                if not f.config("keepHiddenValue"):
-                    scope = self.scope()
-                    own = scope.data.find(p.split("."))
-                    self.df = self.plan.df.withColumn(p, F.when(~self.hidden(p, scope), own.col))
-        return self
+            scope = self.scope()
+            hidden = either(self._by_condition(p, scope), self._by_layout(p, scope, 1))
+            if hidden is None or self.schema.fields[p].config("keepHiddenValue"):
+                continue
+            own = scope.data.find(p.split("."))
+            self.df = self.plan.df.withColumns({p: F.when(~hidden, own.col), f"{p}#gone": hidden & ~is_empty(own)})
+            if steps:
+                flag = steps._flag(F.col(f"`{p}#gone`"))
+                steps.log(F.col(flag), change(p, F.lit(None), F.lit(True), hidden=True))
+                queue.append((p, True, F.col(flag)))
+            self.df = self.df.drop(f"{p}#gone")
+        return queue
+
+    def _conditions(self, path: str) -> list:
+        """What decides whether a field is hidden: its own condition, its groups' and those of layout elements."""
+        fields = self.schema.fields
+        nodes = [fields[p].node for p in (*fields[path].parents, path) if p in fields]
+        nodes += [e for ref, around in self.schema.places() for e in around if ref == path or path.startswith(f"{ref}.")]
+        found = [n.get("condition", {}).get("hidden") for n in nodes]
+        return [unwrap(x) if isinstance(x, dict) else x for x in found if x]
 
     def errors(self) -> Column:
         """Per row an array with the first error of each visible field."""
@@ -372,17 +523,18 @@ class FormEngine:
     def validate(self, keys: list[str]) -> DataFrame:
         """A row for each error: the keys, field, type, message, code, pattern, field_value, data."""
         errors = self.errors()
-        return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], F.explode(errors).alias("e")).select(*keys, "e.*")
+        return self.plan.df.select(*_quoted(keys), F.explode(errors).alias("e")).select(*_quoted(keys), "e.*")
 
     def validation_summary(self, keys: list[str]) -> DataFrame:
         """has_error and n_errors of each document."""
         errors = self.errors()
-        return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], F.size(errors).alias("n_errors")).withColumn("has_error", F.col("n_errors") > 0)
+        return self.plan.df.select(*_quoted(keys), F.size(errors).alias("n_errors")).withColumn("has_error", F.col("n_errors") > 0)
 
     def _error(self, path: str, f: Field, scope: Scope) -> Column:
         v = scope.data.find(path.split(".")) or V.NULL
         empty = F.lit(True) if v.kind == "null" else is_empty(v)
         out, disabled = F.lit(None).cast(ERROR), self.flag(f.condition("disabled"), scope)
+        disabled = F.lit(False) if disabled is None else disabled
         for name, spec in reversed(list(f.node["rules"].items())):
             out = self._rule(path, f, v, empty, disabled, name, spec if isinstance(spec, dict) else {"value": spec}, scope, out)
         return F.when(~self.hidden(path, scope), out)
@@ -407,7 +559,8 @@ class FormEngine:
             bad = ~empty & n.isNotNull() & (n < limit if name == "minValue" else n > limit) if active.kind == "num" else F.lit(False)
         elif name == "pattern":
             pattern = active.const if isinstance(active.const, str) else None
-            bad = ~empty & ~F.coalesce(v.col.rlike(pattern), F.lit(True)) if v.kind == "str" and pattern is not None and _compiles(pattern) else F.lit(False)
+            test = java_pattern(self.df.sparkSession, pattern) if v.kind == "str" and pattern is not None else None
+            bad = ~empty & ~F.coalesce(v.col.rlike(test), F.lit(True)) if test is not None else F.lit(False)
             return F.when(F.coalesce(bad, F.lit(False)), error("pattern", spec, code, pattern)).otherwise(rest)
         elif name == "evaluation":
             items = spec.get("value") if isinstance(spec.get("value"), list) else spec if isinstance(spec, list) else []
@@ -431,67 +584,50 @@ class FormEngine:
         return F.struct(*[p.cast("string").alias(n) for p, n in zip(parts, names, strict=True)])
 
     def dependents(self, changed: list[str]) -> DataFrame:
-        """Propagates changes: the fields' dependents, and theirs, once each. The documents with new values, and a
-        column ``changes`` of (ref, transitive, clear, value)."""
-        queue = [(dotted(p), False) for p in changed]
-        done: set[str] = {p for p, _ in queue}
-        at = 0
-        self.df = self.df.withColumn("__changes", F.array().cast("array<struct<ref: string, transitive: boolean, clear: boolean, value: string>>"))
-        while queue:
-            path, transitive = queue.pop()
-            f = self.schema.fields.get(path)
-            for item in f.node.get("dependents", []) if f else []:
-                target = dotted(item["$ref"])
-                if target not in self.df.columns or target in done:
-                    continue
-                done.add(target)
-                own = self.scope().data.find(path.split("."))
-                ref = self.scope().data.find(target.split("."))
-                scope = self.scope(value=own, refValue=ref)
-                clear = self.flag(item.get("clear", False), scope) if "clear" in item else F.lit(False)
-                value = None
-                if "value" in item:
-                    rule = evaluation(item["value"])
-                    value = self.compiler.value(rule if rule is not None else item["value"], scope)
-                cleared = F.when(clear, F.lit(None)).otherwise(ref.col)
-                new, differs = cleared, clear & ref.col.isNotNull()
-                if value is not None and value.kind != "null":
-                    cast = value.col.cast(ref.type) if value.kind == ref.kind or ref.kind != "str" else V.to_str(value)
-                    set_to = ~V.null_like(value) & ~cast.eqNullSafe(cleared)
-                    new = F.when(set_to, cast).otherwise(cleared)
-                    differs = differs | set_to
-                at += 1
-                shown = F.struct(F.lit(target).alias("ref"), F.lit(transitive).alias("transitive"), (clear & new.isNull()).alias("clear"), new.cast("string").alias("value"))
-                base = self.plan.df.withColumns({f"__n{at}": new.cast(ref.type), f"__c{at}": F.when(F.coalesce(differs, F.lit(False)), shown)})
-                changes = F.when(F.col(f"__c{at}").isNotNull(), F.concat(F.col("__changes"), F.array(F.col(f"__c{at}")))).otherwise(F.col("__changes"))
-                self.df = base.withColumns({target: F.col(f"__n{at}"), "__changes": changes}).drop(f"__n{at}", f"__c{at}", *self.plan.added)
-                queue.append((target, True))
-        return self.df.withColumnRenamed("__changes", "changes")
+        """Propagates changes: the fields' dependents, and theirs where they changed. The documents with new values, and
+        a column ``changes`` of the last (ref, transitive, clear, value, readonly, hidden) of each field."""
+        steps = Propagation(self)
+        steps.run([(dotted(p), False, None) for p in changed])
+        steps.end()
+        return self.df
 
     def refresh(self, changed: list[str], keys: list[str]) -> DataFrame:
-        """The whole pass after a change: dependents, defaults, computed fields, read-only fields, hidden fields. A row
-        (keys, ref, value, cleared) for each field that it left with another value."""
-        before = {p: f"{p}#before" for p in self.leaves}
-        self.df = self.df.withColumns({b: F.col(f"`{p}`") for p, b in before.items()})
-        self.df = self.dependents(changed).drop("changes")
-        self.defaults().evaluate().readonly().hide()
-        moved = [
-            F.when(
-                ~F.col(f"`{p}`").cast("string").eqNullSafe(F.col(f"`{b}`").cast("string")),
-                F.struct(F.lit(p).alias("ref"), F.col(f"`{p}`").cast("string").alias("value"), F.col(f"`{p}`").isNull().alias("cleared")),
-            )
-            for p, b in before.items()
-        ]
-        rows = F.explode(F.array_compact(F.array(*moved))) if moved else F.explode(F.array().cast("array<struct<ref: string, value: string, cleared: boolean>>"))
-        out = self.df.select(*[F.col(f"`{k}`") for k in keys], rows.alias("c")).select(*keys, "c.*")
-        self.df = self.df.drop(*before.values())
+        """The whole pass after a change: dependents; defaults and computed fields; read-only fields and their
+        dependents; hidden fields and theirs. A row (keys, ref, value, cleared, transitive, readonly, hidden) for the
+        last change of each field; read-only values are told whether they changed or not."""
+        steps = Propagation(self)
+        steps.run([(dotted(p), False, None) for p in changed])
+        rules = {f.path for f in self.schema.fields.values() if f.rule is not None}
+        self.df = self.df.withColumns({f"{p}#before": F.col(f"`{p}`") for p in self.leaves})
+        self.defaults().evaluate().defaults().evaluate()
+        for p in self.leaves:
+            if p in rules:
+                moved = ~F.col(f"`{p}`").cast("string").eqNullSafe(F.col(f"`{p}#before`").cast("string"))
+                steps.log(moved, change(p, F.col(f"`{p}`").cast("string"), is_empty(self._own(p))))
+        self.df = self.df.drop(*[f"{p}#before" for p in self.leaves])
+        steps.run(self._sync(steps))
+        steps.run(self._hide(steps))
+        steps.end()
+        out = self.df.select(*_quoted(keys), F.explode("changes").alias("c"))
+        out = out.select(*_quoted(keys), "c.ref", "c.value", F.col("c.clear").alias("cleared"), "c.transitive", "c.readonly", "c.hidden")
+        self.df = self.df.drop("changes")
         return out
 
+    def described(self, changes: DataFrame) -> DataFrame:
+        """``changes`` (with a column ref) and the schema's JSON of each field and of the group around it, without what
+        these hold: field_schema, parent_schema."""
+        rows = []
+        for p, f in self.schema.fields.items():
+            parent = self.schema.fields[f.parents[-1]].node if f.parents and f.parents[-1] in self.schema.fields else self.schema.root
+            rows.append((p, json.dumps(f.node), json.dumps({k: x for k, x in parent.items() if k not in ("properties", "$layout")})))
+        table = changes.sparkSession.createDataFrame(rows, "ref string, field_schema string, parent_schema string")
+        return changes.join(F.broadcast(table), "ref", "left").select(*changes.columns, "field_schema", "parent_schema")
+
     def at(self, keys: list[str], paths: list[str]) -> DataFrame:
         """The keys and the values at the paths, named by them; a path of a group is a struct of its fields."""
         scope = self.scope()
         found = {p: scope.lookup(p) for p in paths}
-        return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], *[v.col.alias(dotted(p)) for p, v in found.items()])
+        return self.plan.df.select(*_quoted(keys), *[v.col.alias(dotted(p)) for p, v in found.items()])
 
     def subform(self, path: str, keys: list[str], **options) -> FormEngine:
         """The items of an array field as documents of their own, with ``_pos``; parents' fields stay visible."""
@@ -502,22 +638,65 @@ class FormEngine:
         schema = json.dumps(self.schema.subforms[path].root)
         return FormEngine(schema, items.where("_pos is not null"), self.tables | options.get("tables", {}), self.context, self.config)
 
+    def evaluate_items(self, path: str) -> FormEngine:
+        """Computes the fields of an array's items where they are, without dealing documents anew. Items see their own
+        fields under the items' root, then the document. Rules that look up DataFrames need ``subform``."""
+        sub = self.schema.subforms[path]
+        root = next(iter(sub.root["properties"]))
+        rules, kind = {k: r for k, r in sub.rules().items() if k.startswith(root + ".")}, self.df.schema[path].dataType
+        scope, col = self.scope(), F.col(f"`{path}`")
+        for batch in sub.batches():
+            names = [n for n in batch if n in rules]
+            if not names:
+                continue
+
+            def made(item: Column, own: T.DataType, names=names) -> dict[str, Val]:
+                inner = scope.with_context(Frame({root: Val(item, own)}), *scope.context)
+                tables = {n: sub.tables[n].value(self.compiler, inner) if n in sub.tables else self.compiler.value(rules[n], inner) for n in names}
+                return {n.removeprefix(root + "."): V.clean_noise(v) for n, v in tables.items()}
+
+            types = {n: T.StringType() if v.kind == "null" else v.type for n, v in made(F.lit(None).cast(kind.elementType), kind.elementType).items()}
+            own = kind.elementType
+
+            def step(x: Column, own=own, types=types, made=made) -> Column:
+                return _set(x, own, {n: (v.col, types[n]) for n, v in made(x, own).items()})[0]
+
+            col = F.transform(col, lambda x: step(x))
+            kind = T.ArrayType(_set(F.lit(None), own, {n: (F.lit(None), t) for n, t in types.items()})[1])
+        self.df = self.plan.df.withColumn(path, col)
+        return self
+
+    def cascade(self) -> FormEngine:
+        """Computed fields of the document, of its items, and again of both, for fields that read each other."""
+        for _ in range(2):
+            self.evaluate()
+            for path in self.schema.subforms:
+                if path in self.df.columns:
+                    self.evaluate_items(path)
+        return self.evaluate()
+
     def with_items(self, path: str, keys: list[str], items: FormEngine) -> FormEngine:
         """Puts evaluated items back as the array field, in order, without dealing documents anew by other keys."""
         root = next(iter(items.schema.root["properties"]))
-        names = [c for c in items.df.columns if c.startswith(root + ".")]
+        names = [c for c in items.df.columns if c.startswith(root + ".") and "#" not in c]
         item = nested(items.df, names)
-        packed = items.df.select(*[F.col(f"`{k}`") for k in keys], F.struct("_pos", item.getField(root).alias("i")).alias("x"))
+        packed = items.df.select(*_quoted(keys), F.struct("_pos", item.getField(root).alias("i")).alias("x"))
         packed = packed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["i"]).alias(path))
         self.df = self.df.drop(path).join(packed, keys, "left")
         return self
 
     def schema_value(self, keys: list[str], shape: str = "nested") -> DataFrame:
-        """The data without hidden fields, with computed values: a struct, a map of texts, or (path, value) pairs."""
-        scope, made = self.scope(), {}
+        """The data without hidden fields, with computed values: a struct, a map of texts, or (path, value) pairs. A
+        computed value replaces given data only where the field is disabled or in no layout; else it fills nulls."""
+        scope, made, shown = self.scope(), {}, {ref for ref, _ in self.schema.places()}
         for p in self.leaves:
             v = scope.data.find(p.split("."))
-            made[p] = F.when(~self.hidden(p, scope), v.col)
+            own = v.col
+            if f"{p}#given" in self.df.columns and p in shown:
+                off = self.flag(self.schema.fields[p].condition("disabled"), scope)
+                given = F.coalesce(F.col(f"`{p}#given`"), own)
+                own = given if off is None else F.when(off, own).otherwise(given)
+            made[p] = F.when(~self.hidden(p, scope), own)
         base = self.plan.df.withColumns(made)
         if shape == "nested":
             value = nested(base, self.leaves)
@@ -528,7 +707,7 @@ class FormEngine:
                 value = F.create_map(*[x for p, t in zip(self.leaves, texts, strict=True) for x in (F.lit(p), t)])
             else:
                 value = F.array(*[F.struct(F.lit(p).alias("path"), t.alias("value")) for p, t in zip(self.leaves, texts, strict=True)])
-        return base.select(*[F.col(f"`{k}`") for k in keys], value.alias("value"))
+        return base.select(*_quoted(keys), value.alias("value"))
 
     def option_urls(self, keys: list[str]) -> DataFrame:
         """(keys, field, url) of fields whose options are a URL template: {name} from its params."""
@@ -543,42 +722,52 @@ class FormEngine:
                     url = F.replace(url, F.lit("{" + name + "}"), V.to_str(v))
                 made.append(F.struct(F.lit(p).alias("field"), url.alias("url")))
         rows = F.explode(F.array(*made)) if made else F.explode(F.array().cast("array<struct<field: string, url: string>>"))
-        return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], rows.alias("o")).select(*keys, "o.*")
+        return self.plan.df.select(*_quoted(keys), rows.alias("o")).select(*_quoted(keys), "o.*")
 
     def layout(self, keys: list[str]) -> DataFrame:
-        """(keys, layout_path, element_idx, ref, hidden, disabled) of every layout element, flags inherited from
-        the elements around it."""
-        scope, rows = self.scope(), []
-
-        def walk(path: str, elements: list, hidden: Column, disabled: Column) -> None:
-            for i, e in enumerate(elements):
-                ref = dotted(e["$ref"]) if "$ref" in e else None
-                f = self.schema.fields.get(ref) if ref else None
-                h = hidden | (self.hidden(ref, scope) if f else F.lit(False)) | self.flag(e.get("condition", {}).get("hidden", False), scope)
-                d = disabled | (self.flag(f.condition("disabled"), scope) if f else F.lit(False)) | self.flag(e.get("condition", {}).get("disabled", False), scope)
-                rows.append(F.struct(F.lit(path).alias("layout_path"), F.lit(i).alias("element_idx"), F.lit(ref).alias("ref"), h.alias("hidden"), d.alias("disabled")))
-                if e.get("elements"):
-                    walk(f"{path}.{i}" if path else str(i), e["elements"], h, d)
-
-        for path, elements in self.schema.layouts.items():
-            walk(path, elements, F.lit(path in self.schema.hidden_all), F.lit(False))
+        """(keys, layout_path, element_idx, ref, hidden, disabled, fullpath, path, parent_hide) of every layout element,
+        flags taken over from the elements around it; fullpath: its field, else its place in the layouts."""
+        scope = self.scope()
+        never = lambda c: F.lit(False) if c is None else c
+        rows = [
+            F.struct(
+                F.lit(e.layout).alias("layout_path"), F.lit(e.place).alias("element_idx"), F.lit(e.ref).alias("ref"), never(e.hidden).alias("hidden"), never(e.disabled).alias("disabled"),
+                F.lit(e.name).alias("fullpath"), F.lit(e.name.rpartition(".")[2]).alias("path"), never(e.around).alias("parent_hide"),
+            )
+            for e in self._elements(scope)
+        ]
         if not rows:
-            rows = [F.lit(None).cast("struct<layout_path: string, element_idx: int, ref: string, hidden: boolean, disabled: boolean>")]
-        return self.plan.df.select(*[F.col(f"`{k}`") for k in keys], F.explode(F.array_compact(F.array(*rows))).alias("l")).select(*keys, "l.*")
-
+            rows = [F.lit(None).cast("struct<layout_path: string, element_idx: int, ref: string, hidden: boolean, disabled: boolean, fullpath: string, path: string, parent_hide: boolean>")]
+        return self.plan.df.select(*_quoted(keys), F.explode(F.array_compact(F.array(*rows))).alias("l")).select(*_quoted(keys), "l.*")
 
-def _conditions(schema: FormSchema, path: str) -> list:
-    f = schema.fields[path]
-    found = [schema.fields[p].node.get("condition", {}).get("hidden") for p in f.parents if p in schema.fields]
-    found.append(f.node.get("condition", {}).get("hidden"))
-    return [unwrap(x) if isinstance(x, dict) else x for x in found if x]
 
+#: Regular expressions that the rules' dialect does not have: look-around, atomic groups, back-references.
+_FOREIGN = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k[<{']|[*+?}]\+")
 
-def _compiles(pattern: str) -> bool:
-    import re
 
+def java_pattern(spark, pattern: str) -> str | None:
+    """A rule's pattern for Java's regular expressions; None where it is none, or is not in the rules' dialect: groups are named
+    ``(?P<name>...)``, classes are of Unicode, ``.`` stops at line feeds only and ``$`` is the end of the text."""
+    out, i, depth = [], 0, 0
+    if _FOREIGN.search(re.sub(r"\\[^0-9k]", "", pattern)):
+        return None
+    several = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        if pattern.startswith("(?P<", i) and not depth:
+            out.append("(?<")
+            i += 4
+            continue
+        depth += (c == "[") - (c == "]" and depth > 0)
+        out.append(r"\z" if c == "$" and not depth and not several else c)
+        i += 1
+    made = "(?U)(?d)" + "".join(out)
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+        spark._jvm.java.util.regex.Pattern.compile(made)
+    except Exception:  # noqa: BLE001  the JVM's error; what is no pattern matches everything
+        return None
+    return made

@@ -30,7 +30,9 @@ def v(path: str) -> dict:
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """Orders as documents with an array of their lines."""
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).agg(
+    # dealt by the order alone, so that both groupings share one shuffle
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n"), "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = lines.repartition("o_orderkey").groupBy("o_orderkey", "n").agg(
         F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"), F.max("l_returnflag").alias("flag")
     )
     return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "qty", "price", "flag"))).alias("items"))
@@ -404,6 +406,58 @@ _SUB = {"properties": {"items": {"type": "array", "items": {"type": "object", "p
     "qty": {"type": "number"}, "price": {"type": "number"}, "unit": {"type": "number", "value": ev({"/": [v("items.price"), v("items.qty")]})}}}}}}
 
 
+@query("dependents_gated", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE p_brand END AS p_brand, CASE WHEN p_size <= 25 THEN p_type END AS p_type, CASE WHEN p_size > 25 THEN 'p_brand,p_type' ELSE '' END AS changed FROM part")
+def dependents_gated(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"properties": {
+        "p_size": {"type": "integer", "dependents": [{"$ref": "#/properties/p_brand", "value": ev({"if": [{">": [{"$ref": "$value"}, 25]}, "big", ""]})}]},
+        "p_brand": {"type": "string", "dependents": [{"$ref": "#/properties/p_type", "clear": True}]}, "p_type": {"type": "string"},
+    }}
+    out = _form(spark, d, "part", schema).dependents(["p_size"])
+    return out.select("p_partkey", "p_brand", "p_type", F.array_join(F.transform("changes", lambda c: c["ref"]), ",").alias("changed"))
+
+
+@query("dependents_requeue", "SELECT p_partkey, p_brand || '-' || p_size AS label, CASE WHEN p_size > 25 THEN 'XL' ELSE p_type END AS kind, 1 + (p_size > 25)::INT AS n FROM part")
+def dependents_requeue(spark: SparkSession, d: str) -> DataFrame:
+    # a change of form.size runs the dependent of form.brand whose formula reads it, and no other of its dependents
+    group = {"size": {"type": "integer", "dependents": [{"$ref": "form.kind", "value": ev({"if": [{">": [{"$ref": "$value"}, 25]}, "XL", ""]})}]},
+             "brand": {"type": "string", "dependents": [{"$ref": "form.kind", "value": "never"}, {"$ref": "form.label", "value": ev({"cat": [{"$ref": "$value"}, "-", v("form.size")]})}]},
+             "label": {"type": "string"}, "kind": {"type": "string"}}
+    docs = table(spark, d, "part").select("p_partkey", F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.lit("").alias("label"), F.col("p_type").alias("kind")).alias("form"))
+    out = FormEngine({"properties": {"form": {"type": "object", "properties": group}}}, docs).dependents(["form.size"])
+    return out.select("p_partkey", F.col("`form.label`").alias("label"), F.col("`form.kind`").alias("kind"), F.size("changes").alias("n"))
+
+
+_OWNED = {
+    "$layout": {"elements": [{"$ref": "#/properties/c_name"}, {"$ref": "#/properties/c_phone"}]},
+    "properties": {
+        "c_name": {"type": "string", "value": ev({"cat": ["computed ", v("c_custkey")]})},
+        "c_phone": {"type": "string", "value": ev({"cat": ["no ", v("c_custkey")]}), "condition": {"disabled": ev({"<": [v("c_acctbal"), 0]})}},
+        "c_mktsegment": {"type": "string", "value": ev({"cat": ["segment ", v("c_nationkey")]})},
+    },
+}
+
+
+@query("schema_value_owned", "SELECT c_custkey, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'no ' || c_custkey ELSE c_phone END AS phone, 'segment ' || c_nationkey AS segment FROM (SELECT *, '12-' || c_custkey AS c_phone FROM customer)")
+def schema_value_owned(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "customer").withColumn("c_phone", F.concat(F.lit("12-"), F.col("c_custkey")))
+    out = FormEngine(_OWNED, docs).evaluate().schema_value(["c_custkey"], "flat")
+    return out.select("c_custkey", *[F.col("value")[f"c_{n}"].alias("segment" if n == "mktsegment" else n) for n in ("name", "phone", "mktsegment")])
+
+
+_PLACED = {
+    "$layout": {"elements": [
+        {"condition": {"hidden": ev({"<": [v("c_acctbal"), 0]})}, "elements": [{"$ref": "#/properties/c_name"}, {"$ref": "#/properties/c_mktsegment"}]},
+        {"$ref": "#/properties/c_name", "condition": {"hidden": ev({">": [v("c_nationkey"), 12]})}},
+    ]},
+    "properties": {n: {"type": "string", "rules": {"pattern": {"value": "^never$"}}} for n in ("c_name", "c_mktsegment")},
+}
+
+
+@query("layout_hidden_validate", "SELECT c_custkey, 'c_name' AS field FROM customer WHERE NOT (c_acctbal < 0 AND c_nationkey > 12) UNION ALL SELECT c_custkey, 'c_mktsegment' FROM customer WHERE c_acctbal >= 0")
+def layout_hidden_validate(spark: SparkSession, d: str) -> DataFrame:
+    return _form(spark, d, "customer", _PLACED).validate(["c_custkey"]).select("c_custkey", "field")
+
+
 def _subform(spark: SparkSession, d: str) -> tuple[FormEngine, FormEngine]:
     e = FormEngine(_SUB, _items(spark, d))
     sub = e.subform("items", ["o_orderkey"])
@@ -417,11 +471,36 @@ def subform_items(spark: SparkSession, d: str) -> DataFrame:
     return sub.df.select("o_orderkey", F.col("`items.n`").cast("long").alias("n"), F.col("`items.unit`").alias("unit"))
 
 
+_RIDERS = {"properties": {
+    "top": {"type": "number", "value": ev({"reduce": [v("items"), {"max": [v("accumulator"), {"ifnull": [v("current.cost"), 0]}]}, 0]})},
+    "items": {"type": "array", "items": {"type": "object", "properties": {
+        "qty": {"type": "number", "rules": {"maxValue": {"value": 45, "message": "too many", "code": "Q"}}, "dependents": [{"$ref": "#/properties/items/properties/flag", "value": ev({"if": [{">": [{"$ref": "$value"}, 45]}, "H", ""]})}]},
+        "flag": {"type": "string", "dependents": [{"$ref": "#/properties/items/properties/price", "clear": True}]}, "price": {"type": "number"},
+        "cost": {"type": "number", "value": ev({"*": [v("items.qty"), 2]})}, "share": {"type": "number", "value": ev({"-": [v("items.cost"), v("top")]})}}}},
+}}
+
+
+@query("subform_validate", f"SELECT o_orderkey, n::BIGINT AS n, 'items.qty' AS field, 'Q' AS code FROM {_ITEMS_SQL} WHERE qty > 45")
+def subform_validate(spark: SparkSession, d: str) -> DataFrame:
+    sub = FormEngine(_RIDERS, _items(spark, d)).subform("items", ["o_orderkey"])
+    return sub.validate(["o_orderkey", "items.n"]).select("o_orderkey", F.col("`items.n`").cast("long").alias("n"), "field", "code")
+
+
+@query("subform_dependents", f"SELECT o_orderkey, n::BIGINT AS n, CASE WHEN qty > 45 THEN 'H' ELSE flag END AS flag, CASE WHEN qty <= 45 THEN price END AS price, CASE WHEN qty > 45 THEN 2 ELSE 0 END AS changes FROM {_ITEMS_SQL}")
+def subform_dependents(spark: SparkSession, d: str) -> DataFrame:
+    out = FormEngine(_RIDERS, _items(spark, d)).subform("items", ["o_orderkey"]).dependents(["items.qty"])
+    return out.select("o_orderkey", F.col("`items.n`").cast("long").alias("n"), F.col("`items.flag`").alias("flag"), F.col("`items.price`").alias("price"), F.size("changes").alias("changes"))
+
+
+@query("subform_cascade", f"SELECT o_orderkey, n::BIGINT AS n, qty * 2 - max(qty * 2) OVER (PARTITION BY o_orderkey) AS share FROM {_ITEMS_SQL}")
+def subform_cascade(spark: SparkSession, d: str) -> DataFrame:
+    e = FormEngine(_RIDERS, _items(spark, d)).cascade()
+    return e.df.select("o_orderkey", F.explode("items").alias("i")).select("o_orderkey", F.col("i.n").cast("long").alias("n"), F.col("i.share").alias("share"))
+
+
 @query("subform_rollup", f"SELECT o_orderkey, count(*)::DOUBLE AS n, max(price / qty) AS most FROM {_ITEMS_SQL} GROUP BY o_orderkey")
 def subform_rollup(spark: SparkSession, d: str) -> DataFrame:
-    e, sub = _subform(spark, d)
-    sub.add({"items.unit": {"/": [v("items.price"), v("items.qty")]}}, clean=False)
-    whole = e.with_items("items", ["o_orderkey"], sub).df
+    whole = FormEngine(_SUB, _items(spark, d)).evaluate_items("items").df
     most = {"reduce": [v("items"), {"max": [v("accumulator"), v("current.unit")]}, 0]}
     return evaluate(whole, {"n": {"length": v("items")}, "most": most}).select("o_orderkey", "n", "most")
 

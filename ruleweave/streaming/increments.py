@@ -9,13 +9,18 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleweave.config import DEFAULT, EngineConfig
+from ruleweave.config import DEFAULT, EngineConfig, RuleError
 from ruleweave.plans.engine import evaluate
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (``spark.checkpoint.dir``), else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+    """A new folder that driver and executors share (``spark.checkpoint.dir``); a local session may have none and gets
+    a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuleError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -22,7 +22,7 @@ def v(x):
 
 @pytest.mark.parametrize(
     ("given", "pointer"),
-    [("a.b", "/a/b"), ("#/a/b", "/a/b"), ("/a.b/c", "/a.b/c"), ("a//b", "/a//b".replace("//", "/")), ("", ""), ("/", ""), ("#", ""), ("a", "/a")],
+    [("a.b", "/a/b"), ("#/a/b", "/a/b"), ("/a.b/c", "/a.b/c"), ("a//b", "/a/b"), ("", ""), ("/", ""), ("#", ""), ("a", "/a")],
 )
 def test_pointers(given, pointer):
     assert paths.to_pointer(given) == pointer
@@ -88,6 +88,77 @@ def test_propagation_stops_on_cycles(spark):
     assert [[(c.ref, c.transitive) for c in r.changes] for r in out] == [[("b", False), ("c", True)], [("b", False)]]
 
 
+def test_changes_lead_on_only_where_something_changed(spark):
+    schema = {"properties": {
+        "a": {"type": "string", "dependents": [{"$ref": "b", "value": ev({"if": [{"==": [{"$ref": "$value"}, "x"]}, "new", ""]})}]},
+        "b": {"type": "string", "dependents": [{"$ref": "c", "clear": True}]}, "c": {"type": "string"},
+    }}
+    df = spark.createDataFrame([("x", "o", "keep"), ("y", "o", "keep"), ("x", "new", "keep")], "a string, b string, c string")
+    out = FormEngine(schema, df).dependents(["a"]).orderBy("a", "b", "c").collect()
+    assert [(r.a, r.b, r.c, [(c.ref, c.transitive, c.clear) for c in r.changes]) for r in out] == [
+        ("x", "new", None, [("b", False, False), ("c", True, True)]), ("x", "new", "keep", []), ("y", "o", "keep", []),
+    ]
+    # a target that is cleared and then given the value it had stays cleared, and leads on even if it was null
+    schema = {"properties": {"a": {"type": "string", "dependents": [{"$ref": "b", "clear": True, "value": ev(v("$value"))}]}, "b": {"type": "string", "dependents": [{"$ref": "c", "clear": True}]}, "c": {"type": "string"}}}
+    df = spark.createDataFrame([("x", "x", "c"), ("x", None, "c"), (None, None, "c")], "a string, b string, c string")
+    out = FormEngine(schema, df).dependents(["a"]).collect()
+    assert [(r.a, r.b, r.c, len(r.changes)) for r in out] == [("x", None, None, 2), ("x", "x", None, 2), (None, None, None, 2)]
+
+
+def test_formulas_call_their_fields_back(spark):
+    group = {
+        "size": {"type": "number"}, "kind": {"type": "string"}, "label": {"type": "string"},
+        "name": {"type": "string", "dependents": [{"$ref": "f.kind", "value": "never"}, {"$ref": "f.label", "value": ev({"cat": [{"$ref": "$value"}, v("f.size")]})}]},
+    }
+    df = spark.sql("select named_struct('size', 3.0D, 'kind', 'k', 'label', 'l', 'name', 'n') as f")
+    e = FormEngine({"properties": {"f": {"type": "object", "properties": group}}}, df)
+    r = e.dependents(["f.size"]).first()
+    assert (r["f.kind"], r["f.label"], [(c.ref, c.value, c.transitive) for c in r.changes]) == ("k", "n3", [("f.label", "n3", True)])
+    # the field itself runs all of its dependents, also after some were called back
+    r = FormEngine({"properties": {"f": {"type": "object", "properties": group}}}, df).dependents(["f.name", "f.size"]).first()
+    assert (r["f.kind"], r["f.label"]) == ("never", "n3")
+    shown = e.described(e.df.select(F.explode("changes").alias("c")).select("c.*")).first()
+    assert json.loads(shown.field_schema) == {"type": "string"} and json.loads(shown.parent_schema) == {"type": "object"}
+
+
+def test_given_values_stay_where_they_are_the_users(spark):
+    schema = {
+        "$layout": {"elements": [{"$ref": "a"}, {"$ref": "off"}]},
+        "properties": {"a": {"type": "string", "value": ev("comp")}, "off": {"type": "string", "value": ev("comp"), "condition": {"disabled": True}}, "free": {"type": "string", "value": ev("comp")}},
+    }
+    df = spark.createDataFrame([(1, "ab", "ab", "ab"), (2, None, None, None)], "id int, a string, off string, free string")
+    got = FormEngine(schema, df).evaluate().schema_value(["id"]).orderBy("id").collect()
+    assert [tuple(r.value) for r in got] == [("ab", "comp", "comp"), ("comp", "comp", "comp")]
+    assert [(x.path, x.value) for x in FormEngine(schema, df).evaluate().schema_value(["id"], "array").orderBy("id").first().value][0] == ("a", "ab")
+
+
+def test_fields_hidden_by_all_their_layout_elements(spark):
+    rule = {"rules": {"required": {"value": True}}, "type": "string"}
+    schema = {
+        "$layout": {"elements": [{"condition": {"hidden": True}, "elements": [{"$ref": "a"}, {"$ref": "b"}]}, {"$ref": "b"}, {"$ref": "g"}, {"hideLayout": {"all": True}, "elements": [{"$ref": "d"}]}]},
+        "properties": {"a": rule, "b": rule, "g": {"type": "object", "condition": {"hidden": ev({"==": [v("id"), 1]})}, "$layout": {"elements": [{"$ref": "g.c"}]}, "properties": {"c": rule}}, "d": rule},
+    }
+    df = spark.sql("select 1 as id, '' as a, '' as b, named_struct('c', 'x') as g, 'keep' as d union all select 2, '', '', named_struct('c', ''), ''")
+    assert {(r.id, r.field) for r in FormEngine(schema, df).validate(["id"]).collect()} == {(1, "b"), (2, "b"), (2, "g.c")}
+    laid = {(r.fullpath, r.path, r.hidden, r.parent_hide) for r in FormEngine(schema, df).layout(["id"]).where("id = 1").collect()}
+    assert laid == {
+        ("$layout.elements.0", "0", True, False), ("a", "a", True, True), ("b", "b", True, True), ("b", "b", False, False), ("g", "g", True, False), ("g.c", "c", True, True),
+        ("$layout.elements.3", "3", True, False), ("d", "d", True, True),
+    }
+    # what is hidden by conditions is emptied, what a hidden layout only does not show is not
+    hidden = {r.id: (r["g.c"], r.d) for r in FormEngine(schema, df).hide().df.collect()}
+    assert hidden == {1: (None, "keep"), 2: ("", "")}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "fits"),
+    [("(?P<x>a)b", "ab", True), ("(?P<x>a)b", "ac", False), ("[", "any", True), ("(?=a)b", "x", True), (r"(a)\1", "b", True), ("a$", "a\n", False), ("^[$]$", "$", True), (r"^\d+$", "٣", True), ("a.b", "a\rb", True), ("(?m)a$", "a\nb", True)],
+)
+def test_patterns(spark, pattern, text, fits):
+    e = FormEngine({"properties": {"t": {"type": "string", "rules": {"pattern": {"value": pattern}}}}}, spark.createDataFrame([(text,)], "t string"))
+    assert (e.validate(["t"]).count() == 0) == fits
+
+
 def test_refresh(spark):
     schema = {"properties": {
         "kind": {"type": "string", "dependents": [{"$ref": "size", "value": ev({"if": [{"==": [{"$ref": "$value"}, "big"]}, 10, 1]})}]},
@@ -106,6 +177,22 @@ def test_refresh(spark):
     }
     assert {r.id: len(r.rows) for r in e.df.collect()} == {1: 0, 2: 1}  # a size over 5 breaks its rule
     assert [r.size for r in e.at(["id"], ["size"]).orderBy("id").collect()] == [10.0, 1.0]
+    flags = {(r.ref, r.readonly, r.hidden, r.transitive) for r in FormEngine(schema, df).refresh(["kind"], ["id"]).where("id = 1").collect()}
+    assert flags == {("size", False, False, False), ("double", False, False, None), ("fixed", True, False, None), ("extra", False, True, None)}
+
+
+def test_read_only_and_hidden_fields_lead_on(spark):
+    schema = {"properties": {
+        "go": {"type": "string"},
+        "fixed": {"type": "string", "value": "yes", "condition": {"disabled": True}, "dependents": [{"$ref": "told", "value": ev({"cat": ["told ", {"$ref": "$value"}]})}]},
+        "told": {"type": "string"},
+        "extra": {"type": "string", "condition": {"hidden": ev({"==": [v("told"), "told yes"]})}, "dependents": [{"$ref": "last", "clear": True}]}, "last": {"type": "string"},
+    }}
+    df = spark.createDataFrame([(1, "", "no", "", "e", "l"), (2, "", "yes", "", "e", "l")], "id int, go string, fixed string, told string, extra string, last string")
+    e = FormEngine(schema, df)
+    got = {(r.id, r.ref, r.value) for r in e.refresh(["go"], ["id"]).collect()}
+    assert got == {(1, "fixed", "yes"), (1, "told", "told yes"), (1, "extra", None), (1, "last", None), (2, "fixed", "yes")}
+    assert {r.id: (r.told, r.extra, r["last"]) for r in e.df.collect()} == {1: ("told yes", None, None), 2: ("", "e", "l")}
 
 
 def test_subform_items_and_layout(spark):
@@ -120,6 +207,10 @@ def test_subform_items_and_layout(spark):
     assert sorted((r["id"], r["_pos"], r["riders.loaded"]) for r in sub.df.collect()) == [(1, 0, 20.0), (1, 1, 40.0)]
     whole = {r.id: r.riders for r in e.with_items("riders", ["id"], sub).df.collect()}
     assert [x.loaded for x in whole[1]] == [20.0, 40.0] and whole[2] is None
+    inside = {r.id: r.riders for r in FormEngine(schema, df).evaluate_items("riders").df.collect()}
+    assert [x.loaded for x in inside[1]] == [20.0, 40.0] and inside[2] == []
+    rows = {(r.id, r.fullpath, r.hidden) for r in sub.layout(["id"]).collect()}
+    assert rows == set()
 
 
 def test_generated_tables(spark):
