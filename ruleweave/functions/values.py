@@ -155,9 +155,9 @@ def to_num(v: Val) -> Column:
 
 
 def finite(col: Column, safe: bool = False) -> Val:
-    """Results that are no finite number become null, or 0."""
-    bad = F.isnan(col) | (F.abs(col) == float("inf"))
-    return num(F.when(~bad, col).otherwise(F.lit(0.0 if safe else None)))
+    """Results that are no finite number become null, or 0. The remainder by infinity is the number itself, of infinity it
+    is no number; the column is named once, as rules within rules would else grow by powers."""
+    return num(F.nanvl(col % F.lit(float("inf")), F.lit(0.0 if safe else None).cast("double")), not safe)
 
 
 def number_text(col: Column) -> Column:

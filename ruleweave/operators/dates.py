@@ -21,7 +21,7 @@ TIME_PART = r"^(\d{4}-\d{1,2}-\d{1,2})(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[
 #: Named formats as patterns of date_format.
 NAMED = {
     "short": "MM/dd/yyyy", "long": "MMMM dd, yyyy", "iso": "yyyy-MM-dd", "us": "MM/dd/yyyy", "eu": "dd/MM/yyyy", "full": "EEEE, MMMM dd, yyyy",
-    "monthday": "MMMM dd", "yearmonth": "MMMM yyyy", "ddmmyyyy": "dd/MM/yyyy", "mmddyyyy": "MM/dd/yyyy", "yyyymmdd": "yyyy-MM-dd",
+    "monthday": "MMMM dd", "yearmonth": "yyyy-MM", "ddmmyyyy": "dd/MM/yyyy", "mmddyyyy": "MM/dd/yyyy", "yyyymmdd": "yyyy-MM-dd",
     "dd-mm-yyyy": "dd-MM-yyyy", "mm-dd-yyyy": "MM-dd-yyyy", "yyyy-mm-dd": "yyyy-MM-dd", "dd.mm.yyyy": "dd.MM.yyyy",
 }
 
@@ -118,15 +118,25 @@ def _strftime(pattern: str) -> str | None:
     return out
 
 
+def _strftime_column(given: Column) -> Column:
+    """The pattern of date_format for a format held in a column; null where a directive is not known."""
+    out = F.replace(F.replace(given, F.lit("%%"), F.lit("\u0001")), F.lit("'"), F.lit("''"))
+    out = F.regexp_replace(out, r"((?:^|(?<=%[A-Za-z])|(?<=%-[A-Za-z]))[^%]+)", "'$1'")
+    for name, pattern in DIRECTIVES.items():
+        out = F.replace(F.replace(out, F.lit(f"%{name}"), F.lit(pattern)), F.lit(f"%-{name}"), F.lit(pattern[:1]))
+    return F.when(~F.contains(out, F.lit("%")), F.replace(out, F.lit("\u0001"), F.lit("%")))
+
+
 @operator("dateformat", "DATEFORMAT", args=(1, 2))
 def dateformat(c: Compiler, a: list, s: Scope) -> Val:
     day = days(c, a[:1], s)[0]
     style = c.value(a[1], s) if len(a) == 2 else V.literal("iso")
     if style.const is V.MISSING:
-        shown = F.lit(None).cast("string")
-        for name, pattern in NAMED.items():
-            shown = F.when(F.lower(style.col) == name, F.date_format(day, pattern)).otherwise(shown)
-        return text(shown)
+        given = V.to_str(style)
+        pattern = _strftime_column(given)
+        for name, known in NAMED.items():
+            pattern = F.when(F.lower(given) == name, F.lit(known)).otherwise(pattern)
+        return text(F.call_function("date_format", day.cast("timestamp"), pattern))
     name = style.const if isinstance(style.const, str) else "iso"
     pattern = NAMED.get(name.lower()) or _strftime(name)
     if pattern is None:

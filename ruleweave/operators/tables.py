@@ -128,16 +128,16 @@ class GeneratedTable:
         ahead = [o for o, _ in reads if o is not None and o > 0]
         if ahead and len(ahead) < len([o for o, _ in reads if o != 0.0]):
             return self._settle(c, s, template, start, end, run)
-        return self._fold(c, s, template, run, extra, backward=bool(ahead))
+        return self._fold(c, s, template, run, start, extra, backward=bool(ahead))
 
-    def _fold(self, c: Compiler, s: Scope, template: dict, run: Column, extra, backward: bool) -> Val:
+    def _fold(self, c: Compiler, s: Scope, template: dict, run: Column, start: Column, extra, backward: bool) -> Val:
         """Rows made one after another; a read of the table itself is a read of the rows so far."""
         kind = self._types(c, s, template, extra)
         array = T.ArrayType(kind)
         last = F.size(run) - 1
 
         def step(rows: Column, i: Column) -> Column:
-            own = _SelfTable(Val(rows, array), num(last.cast("double")), backward)
+            own = _SelfTable(Val(rows, array), num(last.cast("double")), backward, i, start.cast("long"))
             inner = _with_self(c, s, self.name, own)
             return F.concat(rows, F.array(self._struct(self._cells(inner, s, template, extra(i))).col.cast(kind)))
 
@@ -149,7 +149,7 @@ class GeneratedTable:
         """Column types: cells that read the table itself are numbers unless they turn out as texts."""
         kind = T.StructType([T.StructField(k, T.DoubleType()) for k in template])
         for _ in range(3):
-            own = _SelfTable(Val(F.array().cast(T.ArrayType(kind)), T.ArrayType(kind)), num(F.lit(0.0)), False)
+            own = _SelfTable(Val(F.array().cast(T.ArrayType(kind)), T.ArrayType(kind)), num(F.lit(0.0)), False, F.lit(0), F.lit(0))
             made = self._struct(self._cells(_with_self(c, s, self.name, own), s, template, extra(F.lit(0)))).type
             if made == kind:
                 break
@@ -182,15 +182,24 @@ class GeneratedTable:
 
 
 class _SelfTable:
-    def __init__(self, rows: Val, last: Val, backward: bool) -> None:
-        self.rows, self.last, self.backward = rows, last, backward
+    """The rows made so far, of which i is the next one's iteration and start the first one's."""
+
+    def __init__(self, rows: Val, last: Val, backward: bool, i: Column, start: Column) -> None:
+        self.rows, self.last, self.backward, self.i, self.start = rows, last, backward, i, start
+
+    def near(self, offset: float, column: str | None) -> Val:
+        """The cell so many iterations away."""
+        place = F.size(self.rows.col) - int(offset) - self.start if self.backward else self.i + int(offset)
+        return self._at(place.cast("int"), column)
 
     def cell(self, index: Column, column: str | None) -> Val:
         """The cell of the row at an index; rows made backward lie in reverse."""
         place = self.last.col - index if self.backward else index
         inside = (place >= 0) & (place < F.size(self.rows.col))
-        row = F.get(self.rows.col, F.when(inside, place).cast("int"))
-        kind = self.rows.type.elementType
+        return self._at(F.when(inside, place).cast("int"), column)
+
+    def _at(self, place: Column, column: str | None) -> Val:
+        row, kind = F.get(self.rows.col, place), self.rows.type.elementType
         if column is None:
             return Val(row, kind)
         return Val(row[column], kind[column].dataType) if column in kind.names else V.NULL
@@ -203,9 +212,11 @@ def _with_self(c: Compiler, s: Scope, name: str, own: _SelfTable) -> Compiler:
         def value(self, rule: Any, scope: Scope) -> Val:
             head = next(iter(rule), None) if isinstance(rule, dict) else None
             if head in ("VALUEAT", "valueat") and path_in(rule[head][0]) is not None and dotted(path_in(rule[head][0])) == name:
-                index = toward_zero(V.to_num(self.value(rule[head][1], scope)))
                 column = rule[head][2] if len(rule[head]) > 2 else None
-                return own.cell(index, column)
+                offset = _offset(rule[head][1])
+                if offset is not None and offset.is_integer():
+                    return own.near(offset, column)
+                return own.cell(toward_zero(V.to_num(self.value(rule[head][1], scope))), column)
             return super().value(rule, scope)
 
     return Inner(c.config)

@@ -137,10 +137,11 @@ rules("right", "documents", {"x": ({"right": [v("text"), 5]}, "right(text, 5)"),
 rules("mid", "documents", {"x": ({"MID": [v("text"), 3, 6]}, "substring(text, 3, 6)")})
 rules("length_bytes", "documents", {"n": ({"length": v("text")}, "strlen(text)::DOUBLE")})
 rules("len", "documents", {"n": ({"LEN": [v("n_chars")]}, "strlen(n_chars::VARCHAR)::DOUBLE"), "t": ({"len": v("text")}, "strlen(text)::DOUBLE")})
-rules("search", "part", {"at": ({"SEARCH": ["A", v("p_name")]}, "CASE WHEN position('a' IN lower(p_name)) > 0 THEN position('a' IN lower(p_name))::DOUBLE END")})
+rules("search", "part", {"at": ({"SEARCH": ["A", v("p_name")]}, "CASE WHEN position('a' IN lower(p_name)) > 0 THEN position('a' IN lower(p_name))::DOUBLE END"),
+                         "after": ({"SEARCH": ["É", {"cat": ["aé-", v("p_name")]}]}, "2.0"), "bytes": ({"SEARCH": ["-", {"cat": ["aé-", v("p_name")]}]}, "4.0")})
 rules("splittext", "part", {"x": ({"SPLITTEXT": [v("p_name"), " ", 1]}, "coalesce(string_split(p_name, ' ')[2], '')")})
-rules("splitvalue", "part", {"n": ({"length": [{"SPLITVALUE": [v("p_name"), " "]}]}, "len(string_split(p_name, ' '))::DOUBLE")})
-rules("stringformat", "orders", {"x": ({"STRINGFORMAT": [v("o_totalprice"), 0, "$", "", ","]}, "'$' || regexp_replace(format('{:,}', round(o_totalprice)::BIGINT), '^x', '')")})
+rules("splitvalue", "part", {"n": ({"length": [{"SPLITVALUE": [v("p_name"), " "]}]}, "len(string_split(p_name, ' '))::DOUBLE"), "has": ({"in": ["large", {"SPLITVALUE": [v("p_name"), " "]}]}, "list_contains(string_split(p_name, ' '), 'large')"), "parts": ({"SPLITVALUE": [v("p_type"), "A"]}, "string_split(p_type, 'A')")})
+rules("stringformat", "orders", {"x": ({"STRINGFORMAT": [v("o_totalprice"), 0, "$", "", ","]}, "'$' || format('{:,}', round(o_totalprice)::BIGINT)"), "two": ({"STRINGFORMAT": [{"/": [v("o_totalprice"), 8]}, 2]}, "format('{:,.2f}', o_totalprice / 8)")})
 
 # dates
 _F = EngineConfig(now="2024-03-01T12:30:00Z", timezone_minutes=420)
@@ -151,11 +152,25 @@ rules("date_normalize", "orders", {"x": ({"DATE": [{"year": v("o_orderdate")}, {
       "strftime(make_date(year(o_orderdate), 1, 1) + to_months((month(o_orderdate) + 13)::INT) + INTERVAL 39 DAY, '%Y-%m-%dT00:00:00.000Z')")})
 rules("days", "lineitem", {"n": ({"DAYS": [v("l_shipdate"), "1995-06-17"]}, "date_diff('day', DATE '1995-06-17', l_shipdate::DATE)::DOUBLE")})
 rules("dateformat_named", "orders", {"us": ({"dateformat": [v("o_orderdate"), "us"]}, "strftime(o_orderdate, '%m/%d/%Y')"), "long": ({"DATEFORMAT": [v("o_orderdate"), "long"]}, "strftime(o_orderdate, '%B %d, %Y')"), "own": ({"dateformat": [v("o_orderdate"), "%Y.%j"]}, "strftime(o_orderdate, '%Y.%j')")})
-rules("yearfrac_bases", "orders", {f"b{b}": ({"YEARFRAC": ["1992-01-01", v("o_orderdate"), b]}, f"date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / {d}") for b, d in ((0, "360.0"), (1, "365.25"), (3, "365.0"))})
+_NAMED_SQL = {"short": "%m/%d/%Y", "long": "%B %d, %Y", "iso": "%Y-%m-%d", "us": "%m/%d/%Y", "eu": "%d/%m/%Y", "full": "%A, %B %d, %Y", "monthday": "%B %d", "yearmonth": "%Y-%m", "ddmmyyyy": "%d/%m/%Y",
+              "mmddyyyy": "%m/%d/%Y", "yyyymmdd": "%Y-%m-%d", "dd-mm-yyyy": "%d-%m-%Y", "mm-dd-yyyy": "%m-%d-%Y", "yyyy-mm-dd": "%Y-%m-%d", "dd.mm.yyyy": "%d.%m.%Y"}
+rules("dateformat_all_named", "orders", {f"f{i}": ({"dateformat": [v("o_orderdate"), n]}, f"strftime(o_orderdate, '{f}')") for i, (n, f) in enumerate(_NAMED_SQL.items())})
+
+
+@query("dateformat_by_column", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, 'day %j of ''%Y''') ELSE strftime(o_orderdate, '100%% %-d.%-m. %A') END AS x FROM orders")
+def dateformat_by_column(spark: SparkSession, d: str) -> DataFrame:
+    style = F.element_at(F.array(F.lit("EU"), F.lit("day %j of '%Y'"), F.lit("100%% %-d.%-m. %A")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    docs = table(spark, d, "orders").select("o_orderkey", "o_orderdate", style.alias("style"))
+    return evaluate(docs, {"x": {"dateformat": [v("o_orderdate"), v("style")]}}).select("o_orderkey", "x")
+
+
+rules("yearfrac_bases", "orders", {f"b{b}": ({"YEARFRAC": ["1992-01-01", v("o_orderdate"), b]}, f"date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / {d}") for b, d in ((0, "360.0"), (1, "365.25"), (2, "360.0"), (3, "365.0"), (4, "360.0"))})
 rules("datedif_units", "orders", {
     "d": ({"DATEDIF": ["1992-01-15", v("o_orderdate"), "D"]}, "date_diff('day', DATE '1992-01-15', o_orderdate::DATE)::DOUBLE"),
     "m": ({"DATEDIF": ["1992-01-15", v("o_orderdate"), "M"]}, "((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 - (day(o_orderdate) < 15)::INT)::DOUBLE"),
     "y": ({"DATEDIF": ["1992-01-15", v("o_orderdate"), "Y"]}, "(year(o_orderdate) - 1992 - (month(o_orderdate) = 1 AND day(o_orderdate) < 15)::INT)::DOUBLE"),
+    "ym": ({"DATEDIF": ["1992-01-15", v("o_orderdate"), "YM"]}, "(((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 - (day(o_orderdate) < 15)::INT) % 12)::DOUBLE"),
+    "yd": ({"DATEDIF": ["1992-01-15", v("o_orderdate"), "YD"]}, "date_diff('day', make_date(year(o_orderdate) - (month(o_orderdate) = 1 AND day(o_orderdate) < 15)::INT, 1, 15), o_orderdate::DATE)::DOUBLE"),
     "md": ({"DATEDIF": ["1992-01-15", v("o_orderdate"), "MD"]}, "(CASE WHEN day(o_orderdate) < 15 THEN day(o_orderdate) + 15 ELSE day(o_orderdate) - 15 END)::DOUBLE"),
 })
 
@@ -182,7 +197,7 @@ items("map", {"x": ({"sum": [{"map": [_I, {"*": [v("qty"), 2]}]}]}, "sum(qty * 2
 items("filter", {"n": ({"length": [{"filter": [_I, {">": [v("qty"), 20]}]}]}, "count(*) FILTER (qty > 20)::DOUBLE")})
 items("reduce", {"x": ({"reduce": [_I, {"max": [v("accumulator"), v("current.qty")]}, 0]}, "greatest(0.0, max(qty))")})
 items("all_some_none", {"a": ({"all": [_I, {">": [v("qty"), 5]}]}, "bool_and(qty > 5)"), "s": ({"some": [_I, {">": [v("qty"), 45]}]}, "bool_or(qty > 45)"), "n": ({"none": [_I, {"==": [v("flag"), "R"]}]}, "NOT bool_or(flag = 'R')")})
-items("merge", {"n": ({"length": [{"merge": [{"map": [_I, v("qty")]}, {"map": [_I, v("n")]}, 1]}]}, "(2 * count(*) + 1)::DOUBLE")})
+items("merge", {"n": ({"length": [{"merge": [{"map": [_I, v("qty")]}, {"map": [_I, v("n")]}, 1]}]}, "(2 * count(*) + 1)::DOUBLE"), "s": ({"sum": [{"merge": [{"map": [_I, v("qty")]}, {"map": [_I, v("n")]}, 1]}]}, "sum(qty) + sum(n) + 1.0")})
 items("in_array", {"x": ({"in": ["R", {"map": [_I, v("flag")]}]}, "bool_or(flag = 'R')"), "y": ({"in": ["7", {"map": [_I, v("n")]}]}, "bool_or(n = 7)")})
 rules("in_string", "part", {"x": ({"in": ["an", v("p_name")]}, "contains(p_name, 'an')"), "y": ({"in": [v("p_size"), [1, 5, 9]]}, "p_size IN (1, 5, 9)")})
 items("sum_field_threshold", {"x": ({"sum": [_I, "qty", 1]}, "coalesce(arg_min(qty, n), 0) + coalesce(list(qty ORDER BY n)[2], 0)"), "all": ({"SUM": [_I, "qty"]}, "sum(qty)")})
@@ -191,10 +206,11 @@ rules("multiplies", "part", {"x": ({"MULTIPLIES": [{"FOR": [1, 5, v("$loopIterat
 rules("divides", "part", {"x": ({"DIVIDES": [v("p_retailprice"), 0, 4]}, "p_retailprice / 4")})
 
 
-@query("embedding_dot_reduce", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: (x > 0)::INT))::DOUBLE AS positive, len(embedding)::DOUBLE AS dims FROM embeddings")
+@query("embedding_dot_reduce", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: (x > 0)::INT))::DOUBLE AS positive, len(embedding)::DOUBLE AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * 1e6) / 1e6 AS norm FROM embeddings")
 def embedding_dot_reduce(spark: SparkSession, d: str) -> DataFrame:
     rule = {"reduce": [v("embedding"), {"+": [v("accumulator"), {"if": [{">": [v("current"), 0]}, 1, 0]}]}, 0]}
-    return evaluate(table(spark, d, "embeddings"), {"positive": rule, "dims": {"length": v("embedding")}}).select("vec_id", "positive", "dims")
+    norm = {"round": [{"reduce": [v("embedding"), {"+": [v("accumulator"), {"*": [v("current"), v("current")]}]}, 0]}, 6]}
+    return evaluate(table(spark, d, "embeddings"), {"positive": rule, "dims": {"length": v("embedding")}, "norm": norm}).select("vec_id", "positive", "dims", "norm")
 
 
 @query("in_semi_join_df", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -242,7 +258,8 @@ _LOOKUPS = {
                            f"SELECT c_custkey, coalesce((SELECT min(i) FROM {_BRACKETS_SQL} WHERE lo < c_acctbal AND name <> 'debt'), -1)::DOUBLE AS at FROM customer"),
     "valueat_match_fused_df": ("lineitem", lambda s, d: {"parts": _part(s, d)}, {"brand": {"VALUEAT": [v("parts"), {"MATCH": [v("parts"), v("l_partkey"), "p_partkey"]}, "p_brand"]}},
                                "SELECT l_orderkey, l_linenumber, p_brand AS brand FROM lineitem LEFT JOIN part ON p_partkey = l_partkey"),
-    "mapoptions": ("part", lambda s, d: {"brackets": _brackets(s)}, {"n": {"length": [{"MAPOPTIONS": [v("brackets"), "name", "lo"]}]}}, "SELECT p_partkey, 4.0 AS n FROM part"),
+    "mapoptions": ("part", lambda s, d: {"nations": _nation(s, d)}, {"n": {"length": [{"MAPOPTIONS": [v("nations"), "n_name", "n_regionkey"]}]}, "label": {"VALUEAT": [{"MAPOPTIONS": [v("nations"), "n_name", "n_regionkey"]}, {"%": [v("p_size"), 30]}, "label"]}, "value": {"VALUEAT": [{"MAPOPTIONS": [v("nations"), "n_name", "n_regionkey"]}, {"%": [v("p_size"), 30]}, "value"]}},
+                   "SELECT p_partkey, (SELECT count(*) FROM nation)::DOUBLE AS n, n_name AS label, n_regionkey AS value FROM part LEFT JOIN nation ON n_nationkey = p_size % 30"),
     "mapoptionsif": ("customer", lambda s, d: {"brackets": _brackets(s)}, {"n": {"length": [{"MAPOPTIONSIF": [v("brackets"), "name", "lo", [v("c_acctbal"), ">=", "lo"]]}]}},
                      f"SELECT c_custkey, (SELECT count(*) FROM {_BRACKETS_SQL} WHERE c_acctbal >= lo)::DOUBLE AS n FROM customer"),
 }
@@ -369,13 +386,17 @@ _VALIDATIONS = {
     "validate_range": ("c_acctbal", [("minValue", "negative", "E1", "c_acctbal < 0"), ("maxValue", "Validation failed", "c_acctbal.maxValue", "c_acctbal > 9000")]),
     "validate_pattern": ("c_name", [("pattern", "not by five", "c_name.pattern", "NOT regexp_matches(c_name, '[05]$')")]),
     "validate_length": ("c_mktsegment", [("minLength", "Validation failed", "c_mktsegment.minLength", "strlen(c_mktsegment) < 9"), ("maxLength", "Validation failed", "c_mktsegment.maxLength", "strlen(c_mktsegment) > 9")]),
-    "validate_required": ("c_phone", [("required", "phone is needed", "c_phone.required", "true")]),
+    "validate_required": ("c_mktsegment", [("required", "segment is needed", "c_mktsegment.required", "c_nationkey % 3 = 0")]),
     "validate_custom": ("c_nationkey", [("evaluation", "odd", "R1", "c_nationkey % 2 = 1"), ("evaluation", "Validation failed", "c_nationkey.small", "c_nationkey % 2 = 0 AND c_nationkey >= 20")]),
 }
 
 
 def _validation(name: str, path: str, parts: list) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
+        if name == "validate_required":
+            docs = table(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment")).otherwise(F.when(F.col("c_nationkey") % 2 == 0, "")))
+            schema = {"properties": {path: {"type": "string", "rules": {"required": {"value": True, "message": "segment is needed"}}}}}
+            return FormEngine(schema, docs).validate(["c_custkey"]).select("c_custkey", "field", "type", "message", "code")
         schema = {"properties": {path: _CHECKED["properties"][path]}}
         return _form(spark, d, "customer", schema).validate(["c_custkey"]).select("c_custkey", "field", "type", "message", "code")
 
@@ -541,7 +562,7 @@ def grouped_conditional_sum(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("l_returnflag").agg(F.sum("x").alias("large"))
 
 
-@query("events_foreach_batch", None)
+@query("events_foreach_batch", "SELECT event_id, value > 50 AS high, 'e:' || event_type AS kind FROM events")
 def events_foreach_batch(spark: SparkSession, d: str) -> DataFrame:
     from ruleweave.streaming.increments import run_increments
 
