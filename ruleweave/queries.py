@@ -229,6 +229,12 @@ def _part(s: SparkSession, d: str) -> DataFrame:
     return n.withColumn("_idx", F.col("p_partkey").cast("long"))
 
 
+def _order_table(s: SparkSession, d: str) -> DataFrame:
+    """Orders as a large reference table of price ranges."""
+    price = F.col("o_totalprice")
+    return table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("_idx"), "o_custkey", "o_totalprice", (price * 1.02).alias("upto"), F.col("o_orderstatus").alias("status"))
+
+
 def _brackets(s: SparkSession) -> DataFrame:
     rows = [(0, 0.0, 999.99, "low"), (1, 1000.0, 4999.99, "mid"), (2, 5000.0, 1e9, "high"), (3, -1e9, -0.01, "debt")]
     return s.createDataFrame(rows, "_idx long, lo double, hi double, name string")
@@ -256,6 +262,14 @@ _LOOKUPS = {
                          "SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN -1.0 ELSE p_partkey::DOUBLE END AS at FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_brand = 'Brand#13'"),
     "findindex_theta_df": ("customer", lambda s, d: {"brackets": _brackets(s)}, {"at": {"FINDINDEX": [v("brackets"), ["<", v("c_acctbal"), "lo"], ["!=", "debt", "name"]]}},
                            f"SELECT c_custkey, coalesce((SELECT min(i) FROM {_BRACKETS_SQL} WHERE lo < c_acctbal AND name <> 'debt'), -1)::DOUBLE AS at FROM customer"),
+    "indexat_range_large_df": ("customer", lambda s, d: {"orders": _order_table(s, d)}, {"at": {"INDEXAT": [{"*": [v("c_acctbal"), 10]}, v("orders"), "o_totalprice", True]}},
+                               "SELECT c_custkey, coalesce(min(o_orderkey), -1)::DOUBLE AS at FROM customer LEFT JOIN orders ON o_totalprice <= c_acctbal * 10 GROUP BY c_custkey"),
+    "matchrange_large_df": ("customer", lambda s, d: {"orders": _order_table(s, d)}, {"at": {"MATCHRANGE": [v("orders"), "o_totalprice", "upto", {"*": [v("c_acctbal"), 30]}]}},
+                            "SELECT c_custkey, coalesce(min(o_orderkey), -1)::DOUBLE AS at FROM customer LEFT JOIN orders ON c_acctbal * 30 BETWEEN o_totalprice AND o_totalprice * 1.02 GROUP BY c_custkey"),
+    "matchrange_two_large_df": ("customer", lambda s, d: {"orders": _order_table(s, d)}, {"at": {"MATCHRANGE": [v("orders"), "o_totalprice", "upto", {"*": [v("c_acctbal"), 30]}, "o_custkey", "o_totalprice", v("c_custkey")]}},
+                                "SELECT c_custkey, coalesce(min(o_orderkey), -1)::DOUBLE AS at FROM customer LEFT JOIN orders ON c_acctbal * 30 BETWEEN o_totalprice AND o_totalprice * 1.02 AND c_custkey BETWEEN o_custkey AND o_totalprice GROUP BY c_custkey"),
+    "findindex_large_df": ("customer", lambda s, d: {"orders": _order_table(s, d)}, {"at": {"FINDINDEX": [v("orders"), ["==", v("c_custkey"), "o_custkey"], [">", {"*": [v("c_acctbal"), 10]}, "o_totalprice"], ["!=", "P", "status"]]}},
+                           "SELECT c_custkey, coalesce(min(o_orderkey), -1)::DOUBLE AS at FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 10 AND o_orderstatus <> 'P' GROUP BY c_custkey"),
     "valueat_match_fused_df": ("lineitem", lambda s, d: {"parts": _part(s, d)}, {"brand": {"VALUEAT": [v("parts"), {"MATCH": [v("parts"), v("l_partkey"), "p_partkey"]}, "p_brand"]}},
                                "SELECT l_orderkey, l_linenumber, p_brand AS brand FROM lineitem LEFT JOIN part ON p_partkey = l_partkey"),
     "mapoptions": ("part", lambda s, d: {"nations": _nation(s, d)}, {"n": {"length": [{"MAPOPTIONS": [v("nations"), "n_name", "n_regionkey"]}]}, "label": {"VALUEAT": [{"MAPOPTIONS": [v("nations"), "n_name", "n_regionkey"]}, {"%": [v("p_size"), 30]}, "label"]}, "value": {"VALUEAT": [{"MAPOPTIONS": [v("nations"), "n_name", "n_regionkey"]}, {"%": [v("p_size"), 30]}, "value"]}},

@@ -221,18 +221,36 @@ def test_generated_tables(spark):
     assert FormEngine({"properties": {"t": back}}, spark.range(1)).evaluate().df.first().t == []
 
 
-def test_large_tables_by_bins_and_keys(spark, monkeypatch):
+def test_large_tables(spark, monkeypatch):
     import ruleweave.plans.joins as J
 
-    table = spark.range(500).selectExpr("id as _idx", "cast(id * 10 as double) as lo", "cast(id * 10 + 9 as double) as hi", "cast(id % 50 as string) as k")
-    docs = spark.range(200).selectExpr("id", "cast(id * 31.5 as double) as x", "id % 60 as k")
-    rules = {"at": {"MATCHRANGE": [v("t"), "lo", "hi", v("x")]}, "key": {"MATCH": [v("t"), v("k"), "k"]}, "low": {"INDEXAT": [v("x"), v("t"), "lo", True]}}
-    few = sorted(map(tuple, evaluate(docs, rules, tables={"t": table}).collect()))
-    monkeypatch.setattr(J, "ARRAY_ROWS", 10)
+    columns = ["id as _idx", "cast(pmod(hash(id), 500) * 10 as double) as lo", "cast(pmod(hash(id), 500) * 10 + pow(2, id % 13) as double) as hi", "cast(id % 50 as string) as k", "cast(5000 - id * 3 as double) as falls"]
+    table = spark.range(12_000).selectExpr(*columns)
+    docs = spark.range(120).selectExpr("id", "if(id = 7, null, cast(id * 41.5 as double)) as x", "id % 60 as k", "named_struct('y', id * 7.0D) as deep")
+    rules = {
+        "at": {"MATCHRANGE": [v("t"), "lo", "hi", v("x")]}, "two": {"MATCHRANGE": [v("t"), "lo", "hi", v("x"), "lo", "hi", v("deep.y")]},
+        "key": {"MATCH": [v("t"), v("k"), "k"]}, "low": {"INDEXAT": [v("x"), v("t"), "lo", True]}, "fall": {"INDEXAT": [v("x"), v("t"), "falls", True]},
+        "mixed": {"FINDINDEX": [v("t"), ["==", {"$ref": "k"}, "k"], [">", v("x"), "lo"]]},
+        "span": {"FINDINDEX": [v("t"), ["<=", {"$ref": "deep.y"}, "lo"], [">=", {"$ref": "deep.y"}, "hi"], ["!=", "3", "k"]]},
+        "theta": {"FINDINDEX": [v("t"), [">", {"$ref": "x"}, "lo"], ["!=", "0", "k"]]},
+        "options": {"length": [{"MAPOPTIONSIF": [v("t"), "k", "lo", [v("x"), ">=", "lo"]]}]}, "all": {"length": [{"MAPOPTIONS": [v("t"), "k", "lo"]}]},
+    }
+    with monkeypatch.context() as m:
+        m.setattr(J, "ARRAY_ROWS", 20_000)
+        few = sorted(map(tuple, evaluate(docs, rules, tables={"t": table}).collect()), key=str)
     many = evaluate(docs, rules, tables={"t": table}, config=EngineConfig(broadcast_rows=1))
-    assert sorted(map(tuple, many.collect())) == few and len(few) == 200
-    assert few[3][3] == 9.0 and few[55][4] == -1.0 and few[2][5] == 0.0
-    assert JoinPlan(docs, {"t": table}, EngineConfig()).count("t") == 500
+    assert sorted(map(tuple, many.collect()), key=str) == few and len(few) == 120
+    # against plain loops
+    t, names = table.orderBy("_idx").collect(), evaluate(docs, rules, tables={"t": table}).columns
+    for r in many.collect():
+        x, y, k = r.x or 0.0, r.deep.y, r.k
+        tests = {
+            "at": lambda q: q.lo <= x <= q.hi, "two": lambda q: q.lo <= x <= q.hi and q.lo <= y <= q.hi, "low": lambda q: q.lo <= x, "fall": lambda q: q.falls <= x,
+            "mixed": lambda q: q.k == str(k) and q.lo > x, "span": lambda q: q.lo <= y <= q.hi and q.k != "3", "theta": lambda q: q.lo > x and q.k != "0",
+        }
+        assert {n: next((q["_idx"] for q in t if f(q)), -1) for n, f in tests.items()} == {n: r[n] for n in tests}, r
+        assert r.all == 12_000 and r.options == sum(x >= q.lo for q in t) and "at" in names
+    assert JoinPlan(docs, {"t": table}, EngineConfig()).count("t") == 12_000
 
 
 def test_numbered_tables(spark):
