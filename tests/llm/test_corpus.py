@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -126,7 +127,7 @@ def test_prefix_shares_at_the_boundary(spark):
 
 
 def pieces(t):
-    return set(re.findall(r"(?:[^ \n]+ *){1,12}", t))
+    return set(re.findall(r"(?:[^ \n]{1,16}+ *+){1,12}+", t))
 
 
 def test_fingerprints(docs, none):
@@ -154,6 +155,43 @@ def test_fingerprints(docs, none):
     assert fingerprint_edits(single.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_fingerprints_compare_exactly_where_no_sketch_decodes(spark, monkeypatch):
+    from ruleweave.llm import fingerprints as P
+
+    monkeypatch.setattr(P, "SIZES", [4])
+    monkeypatch.setattr(P, "LOAD", 200)  # far too many digests for a sketch of four columns
+    r = random.Random(3)
+    base = [prose(r, 9) for _ in range(60)]
+    rows = [(2, "\n".join(base)), (1, "\n".join(base[:20] + [prose(r, 9) for _ in range(40)]))]
+    got = {x.doc_id: x for x in P.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = (pieces(t) for _, t in rows)
+    assert got[2].near_next == pytest.approx(len(a & b) / len(a | b)) and 0.1 < got[2].near_next < 0.5
+    t = rows[0][1]
+    edited = pieces(t[: len(t) - len(t) // 3] + rows[1][1][: len(t) // 3])
+    assert got[2].near_edited == pytest.approx(len(a & edited) / len(a | edited))
+    assert (got[2].n_only_before, got[2].n_only_after) == (len(a - edited), len(edited - a))
+
+
+def test_fingerprints_of_scripts_without_spaces_and_many_equal_ids(spark):
+    from ruleweave.llm.fingerprints import fingerprint_edits
+
+    r = random.Random(5)
+    chinese = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(900))
+    got = {x.doc_id: x for x in fingerprint_edits(spark.createDataFrame([(2, chinese), (1, "other " * 300)], "doc_id long, text string")).collect()}
+    assert got[2].near_edited > 0.3
+    # most rows share one id: they are dealt by their texts, and each is followed by the next in order
+    rows = [(7, f"text {i % 150} of many") for i in range(400)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i}") for i in (1, 2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    from ruleweave.llm.fingerprints import with_next
+
+    pairs = Counter((x.text, x.next_text) for x in with_next(docs).collect())
+    assert sum(pairs.values()) == len(rows) and Counter(t for t, _ in pairs.elements()) == Counter(n for _, n in pairs.elements()) == Counter(t for _, t in rows)
+    follow = {}
+    for t, n in pairs:
+        follow.setdefault(t, set()).add(n)
+    assert follow["own 9"] <= {t for d, t in rows if d == 7} and follow["own 2"] == {"own 1"} and next(iter(follow["own 1"])).startswith("none") and sum("own 9" in n for n in follow.values()) == 1
+
+
 def test_warc(spark, tmp_path):
     from ruleweave.llm import warc as W
 
@@ -248,6 +286,43 @@ def test_token_files(docs, none, spark):
     assert read_token_files(spark, write_token_files(none, path)).count() == 0
 
 
+def test_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    from ruleweave.llm import kernels as K
+    from ruleweave.llm.fingerprints import fingerprint_edits
+    from ruleweave.llm.ngram_join import ngram_components
+    from ruleweave.llm.packing import pack_documents
+    from ruleweave.llm.quality_rules import base_counts
+    from ruleweave.llm.token_files import read_token_files, write_token_files
+
+    r = random.Random(23)
+    words = [r.choice(["sea", "tree", "höuse", "river"]) + str(r.randint(0, 9999)) for _ in range(150_000)]
+    long = "\n".join(" ".join(words[i : i + 40]) for i in range(0, len(words), 40)) + " " + "z" * 50_000
+    assert len(long.encode()) > K.WINDOW + K.SLICE
+    rows = [(1, long), (2, long + " one more"), (3, "short text of a few words"), (4, long[: len(long) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_components(docs).collect()}
+    assert got == {d: (len(shingles(t)), {1: 1, 2: 1, 3: 3, 4: 4}[d]) for d, t in rows}
+    prints = {x.doc_id: x for x in fingerprint_edits(docs.where("doc_id < 4")).collect()}
+    assert all(prints[d].n_chars == len(t) for d, t in rows[:3]) and prints[2].near_next > 0.99
+    edited = (long + " one more")[: len(long) + 9 - (len(long) + 9) // 3] + long[: (len(long) + 9) // 3]
+    assert prints[2].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    for name, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        ids = {d: [*t.encode(x, add_special_tokens=False).ids, end] for d, x in rows}
+        if end:
+            expected = Counter((d, k, zlib.crc32(np.array(x[a : a + 4096], "<u4").tobytes())) for d, x in ids.items() for k, a in enumerate(range(0, len(x), 4096)))
+            assert Counter((p.doc_id, p.piece, p.ids_crc32) for p in pack_documents(docs, public_tokenizers.path(name)).collect()) == expected
+        else:
+            back = {p.doc_id: (p.n_tokens, p.ids_crc32) for p in read_token_files(spark, write_token_files(docs, public_tokenizers.path(name))).collect()}
+            assert back == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids.items()}
+    import pyarrow as pa
+
+    counts = base_counts(pa.RecordBatch.from_pydict({"text": [long]}))
+    assert counts["n_words"][0] == len(WORD.findall(long)) and counts["word_chars"][0] == sum(map(len, WORD.findall(long)))
+
+
 def test_packing(docs, none, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -306,6 +381,70 @@ def test_language(spark, none):
     assert {g.lang_pred for g in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def gram_counts(text):
+    """Character 1- to 3-grams of a text, as language identification takes them."""
+    t = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n] != " ")
+
+
+def test_language_by_a_plain_model(spark):
+    from ruleweave.llm import kernels as K
+    from ruleweave.llm import language as L
+
+    r = random.Random(17)
+    parts = {"aa": "ka ro mi tu zo é", "bb": "sch ung ein der lich ka", "cc": "日 本 語 の ka"}
+    rows = [(i, " ".join("".join(r.choice(parts[x].split()) for _ in range(3)) for _ in range(r.randint(1, 20))), x) for i in range(240) for x in [("aa", "bb", "cc")[i % 3 if i % 7 else 0]]]
+    rows += [(500, "Ka, RO!!  mi--tu\n\nzo 12", "aa"), (501, "", "aa"), (502, None, "bb"), (503, "ka " * (K.SLICE // 2), "bb"), (504, "sch 12 ", None), (None, "ka ro", "aa"), (505, "ung", "bb"), (505, "ung", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = {d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1 for d, *_ in rows}
+    counts, n = defaultdict(Counter), Counter()
+    for d, t, x in rows:
+        if d is not None and not held[d] and x is not None and t is not None:
+            counts[x] += gram_counts(t)
+            n[x] += 1
+    # 65,536 buckets for some hundred grams: a gram's bucket is its own but for rare clashes
+    def bucket(g):
+        key = len(g)
+        for c in g:
+            key = key << 20 | ord(c)
+        return int(K.mix(np.array([key], np.uint64))[0]) & (L.BUCKETS - 1)
+
+    by = {x: Counter() for x in counts}
+    for x, c in counts.items():
+        for g, k in c.items():
+            by[x][bucket(g)] += k
+    langs = sorted(counts)
+    expected = Counter()
+    for d, t, _ in rows:
+        grams = gram_counts(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            expected[d, held[d], "und", 0.0] += 1
+            continue
+        logs = [math.log(n[x] / sum(n.values())) + sum(k * math.log((by[x][bucket(g)] + L.SMOOTHING) / (sum(by[x].values()) + L.SMOOTHING * L.BUCKETS)) for g, k in grams.items()) for x in langs]
+        best = max(range(len(langs)), key=lambda i: (logs[i], -i))
+        expected[d, held[d], langs[best], round(1 / sum(math.exp(v - logs[best]) for v in logs), 2)] += 1
+    assert Counter((g.doc_id, g.held_out, g.lang_pred, round(g.score, 2)) for g in L.identify(docs).collect()) == expected
+
+
+def test_stretches_of_long_texts_give_each_gram_once():
+    import pyarrow as pa
+
+    from ruleweave.llm import kernels as K
+    from ruleweave.llm import language as L
+    from ruleweave.llm import resampling as R
+
+    r = random.Random(2)
+    text = "".join(r.choice("ab é日 \n.") for _ in range(5000))
+    for features, size in ((lambda c: ((b, o) for b, o, _ in L.features(c)), L.BUCKETS), (R.features, 2 * R.BUCKETS)):
+        whole = sum(np.bincount(b, minlength=size) for b, _ in features(pa.array([text])))
+        old = K.stretches.__defaults__
+        try:
+            K.stretches.__defaults__ = (97,)
+            assert (sum(np.bincount(b, minlength=size) for b, _ in features(pa.array([text]))) == whole).all()
+        finally:
+            K.stretches.__defaults__ = old
+
+
 def test_keep_languages_decides_by_the_model(spark):
     from ruleweave.llm.language import keep_languages
 
@@ -356,6 +495,77 @@ def test_resampling(spark):
     assert ratios[0] > 0 > ratios[1]
 
 
+def test_resampling_by_plain_weights(spark):
+    from ruleweave.llm import kernels as K
+    from ruleweave.llm import resampling as R
+
+    r = random.Random(19)
+    rows = [(i, " ".join(r.choice("aa bb cc dd ee ff".split() if i % 4 else "XX YY$ ZZ".split()) for _ in range(r.randint(1, 30))), ("x", "y", None)[i % 3]) for i in range(120)]
+    rows += [(200, None, "x"), (201, "", "y"), (None, "aa bb", "x"), (5, rows[5][1], rows[5][2]), (202, "aa " * (K.SLICE // 2), "x")]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(0, 120, 2)] + [(2, 0, 0), (6, 1, 1), (7, None, None), (None, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    verdicts = defaultdict(list)
+    for d, q, t in labels:
+        if d is not None:
+            verdicts[d].append(q == 1 and t == 0)
+    good = {d for d, v in verdicts.items() if all(v)}
+
+    def buckets(t):
+        b = (t or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+        import pyarrow as pa
+
+        hashed = K.words(*K.strings(pa.array([w.decode() for w in words])))[2] if words else np.zeros(0, np.uint64)
+        chars = K.mix(np.array([int.from_bytes(b[i : i + 4], "big") for i in range(len(b) - 3)], np.uint64))
+        return Counter((hashed & np.uint64(R.BUCKETS - 1)).tolist()), Counter((chars & np.uint64(R.BUCKETS - 1)).tolist())
+
+    size, target_size = Counter(), Counter()
+    for d, t, x in rows:
+        size[x or ""] += len((t or "").encode())
+        target_size[x or ""] += len((t or "").encode()) * (d in good)
+    raw, target = (Counter(), Counter()), (Counter(), Counter())
+    for d, t, x in rows:
+        for half, c in enumerate(buckets(t)):
+            for k, n in c.items():
+                raw[half][k] += n * target_size[x or ""] / size[x or ""]
+                target[half][k] += n * (d in good)
+    expected = []
+    for d, t, _ in rows:
+        weight = 0.0
+        for half, c in enumerate(buckets(t)):
+            scale = sum(target[half].values()) / sum(raw[half].values())
+            weight += sum(n * math.log((target[half][k] + R.SMOOTHING) / (raw[half][k] * scale + R.SMOOTHING)) for k, n in c.items())
+        expected.append((d, weight))
+    all_rows = R.importance_sample(docs, marks, len(rows)).collect()  # as many as there are: none is left out
+    assert len(all_rows) == len(rows)
+    for g in all_rows:
+        assert any(d == g.doc_id and abs(w - g.log_weight) <= 1e-3 + 1e-4 * abs(w) for d, w in expected), g
+    # the default size of the sample, and which rows it takes
+    share = np.mean([v for v in (all(x) for x in verdicts.values())])
+    k = round(sum(min(1.0, share * math.exp(min(w, 700.0))) for _, w in expected))
+    keys = sorted((g.sample_key for g in all_rows), reverse=True)
+    taken = R.importance_sample(docs, marks)
+    assert sorted(g.sample_key for g in taken.collect()) == sorted(x for x in keys if x >= keys[k - 1])
+    noise = {g.doc_id: g.sample_key - g.log_weight for g in all_rows}
+    assert len({round(x, 6) for x in noise.values()}) == len(noise) and abs(np.mean(list(noise.values())) - 0.5772) < 0.5
+
+
+def test_clashing_columns_stay(spark):
+    from ruleweave.llm.mixing import replicate
+    from ruleweave.llm.resampling import resample
+
+    names = ["log_weight", "sample_key", "mix_source", "mix_order", "node", "good", "share", "n", "w"]
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('some words ', id % 7) as text", "'en' as lang", "concat('s', id % 3) as source", *(f"id * 2 as `{c}`" for c in names))
+    labels = spark.range(60).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    kept = resample(docs, labels, 20)
+    assert kept.columns == docs.columns and kept.count() == 20 and kept.where("log_weight != doc_id * 2").count() == 0
+    out = replicate(docs.withColumn("mix_rate", F.lit("mine")))
+    assert out.columns == [*docs.columns, "mix_rate", "mix_count", "mix_copy"] and out.where("mix_source != doc_id * 2 or mix_rate <= 0").count() == 0
+    no_ids = replicate(docs.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", "n")), {"s0": 1.0, "s1": 1.0, "s2": 1.0})
+    assert no_ids.select("text", "mix_count").distinct().groupBy("text").count().where("count > 1").count() == 0 and no_ids.count() > 0
+
+
 def test_resampling_takes_no_language_away(spark):
     from ruleweave.llm.resampling import importance_sample
 
@@ -408,20 +618,82 @@ def test_quality_rules(docs, none):
     assert quality_rules(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    from ruleweave.llm import quality_rules as R
+def kneser_ney(rows, order=3):
+    """Log-perplexity of each (lang, text) by a plain modified Kneser-Ney model of all of them."""
+    out = {}
+    for lang in {x for x, _ in rows}:
+        mine = [t or "" for x, t in rows if x == lang]
+        grams = [[("\x02" * (order - 1) + t)[i : i + order] for i in range(len(t))] for t in mine]
+        n, docs = Counter(g for t in grams for g in t), Counter(g for t in grams for g in set(t))
+        levels = [{g: n[g] if docs[g] > 1 else 0 for g in n}]
+        raws = [n]
+        for _ in range(order - 1):
+            lower = Counter()
+            for g, c in levels[-1].items():
+                lower[g[1:]] += c > 0
+            levels.append(dict(lower))
+            raws.append(levels[-1])
+        total = sum(levels[-1].values())
+        p = {g: (c + 0.5) / (total + 0.5 * (len(levels[-1]) + 1)) for g, c in levels[-1].items()}
+        for level, raw in zip(levels[-2::-1], raws[-2::-1], strict=True):
+            n1, n2, n3, n4 = (max(1, sum(c == i for c in raw.values())) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            d = [0.0, *(min(max(x, 0), most) for x, most in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.9)))]
+            sums, off = Counter(), Counter()
+            for g, c in level.items():
+                sums[g[:-1]] += c
+                off[g[:-1]] += d[min(c, 3)]
+            q = {}
+            for g, c in level.items():
+                x = g[:-1]
+                q[g] = (c - d[min(c, 3)]) / sums[x] + off[x] / sums[x] * p[g[1:]] if sums[x] else p[g[1:]]
+            p = q
+        for t, g in zip(mine, grams, strict=True):
+            out[lang, t] = -sum(math.log(p[x]) for x in g) / len(g) if g else 0.0
+    return out
 
-    data = [t for t in texts() if t]
-    import pyarrow as pa
 
+@pytest.mark.parametrize("top", [1 << 21, 50])
+def test_quality_rules_by_a_plain_model(spark, monkeypatch, top):
     from ruleweave.llm import kernels as K
+    from ruleweave.llm import quality_rules as R
+
+    monkeypatch.setattr(R, "TOP", top)  # with few grams sent to all tasks the others are joined
+    r = random.Random(12)
+    rows = [(i, x, prose(r, r.randint(15, 80)) if x != "zz" else " ".join(r.choice("日本語の文章です。") * 2 for _ in range(40))) for i in range(60) for x in [("en", None, "zz", "")[i % 4]]]
+    rows += [(100, "en", "#!$ XQ" * 60), (101, "en", None), (102, None, ""), (103, "en", rows[0][2]), (103, "en", rows[0][2]), (None, "zz", "日" * 90), (104, "en", "ab cd " * (K.SLICE // 5)), (105, "én", "x y z")]
+    docs = spark.createDataFrame([(d, t, x, 1.0) for d, x, t in rows], "doc_id long, text string, lang string, log_perplexity double").repartition(3)
+    got = R.quality_rules(docs).collect()
+    plain = kneser_ney([(x, t) for _, x, t in rows])
+    expected = Counter((d, round(plain[x, t or ""], 4)) for d, x, t in rows)
+    assert Counter((g.doc_id, round(g.log_perplexity, 4)) for g in got) == expected
+    # the verdict: the median and the median deviation of those that pass the base rules
+    lang, text = {d: x for d, x, _ in rows}, {d: t or "" for d, _, t in rows}
+    bands = {}
+    for x in set(lang.values()):
+        values = sorted(g.log_perplexity for g in got if lang[g.doc_id] == x and not g.base_failed)
+        if values:
+            middle = values[(len(values) - 1) // 2]
+            bands[x] = middle, sorted(abs(v - middle) for v in values)[(len(values) - 1) // 2]
+    for g in got:
+        middle, deviation = bands.get(lang[g.doc_id], (0, 0))
+        wide = R.BAND * max(deviation, R.LEAST_DEVIATION) * (1 + R.SHORT / math.sqrt(max(len(text[g.doc_id]), 1)))
+        assert g.kept == (not g.base_failed and abs(g.log_perplexity - middle) <= wide), g
+    assert not next(g.kept for g in got if g.doc_id == 100)
 
-    grams, _ = R.trigrams(*K.strings(pa.array(data)))
-    gram, n = np.unique(grams, return_counts=True)
-    model = R.Model(np.zeros(len(gram), np.int64), gram, n)
-    for context in np.unique(gram >> 6)[:40]:
-        p = np.exp(model.log_p(np.zeros(64, np.int64), (int(context) << 6) | np.arange(64)))
-        assert p.sum() == pytest.approx(1.0, abs=0.02)
+
+def test_quality_rules_of_many_languages(spark):
+    from ruleweave.llm.quality_rules import quality_rules
+
+    # 230 languages, each with letters of its own and a document in another's letters
+    rows = []
+    for k in range(230):
+        letters = [chr(0x4E00 + 20 * k + j) for j in range(20)]
+        r = random.Random(k)
+        rows += [(10 * k + i, " ".join("".join(r.choices(letters, k=3)) for _ in range(40)), f"l{k}") for i in range(6)]
+        rows.append((10 * k + 9, " ".join("".join(r.choices("abcdefghij", k=3)) for _ in range(40)), f"l{k}"))
+    got = {g.doc_id: g.kept for g in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[d] for d, *_ in rows if d % 10 < 6) >= 0.97 * 230 * 6 and sum(got[10 * k + 9] for k in range(230)) <= 30
 
 
 def test_sharding(docs, none):
@@ -443,6 +715,33 @@ def test_sharding(docs, none):
     assert abs(sum(left) - sum(right)) == 2 and sorted(left + right) == [4, 5, 6, 7, 8]
 
 
+def test_sharding_balances_bytes(spark, monkeypatch):
+    from ruleweave.llm import sharding as S
+
+    r = random.Random(6)
+    sizes = [r.randint(1, 4000) for _ in range(3000)]
+    rows = [(i, f"{i} " + "x" * n) for i, n in enumerate(sizes)] + [(None, "hot")] * 900 + [(9000 + i, "y" * 700) for i in range(40)] + [(1, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len((t or "").encode()) + 1
+    for chunk in (50_000, 40):  # differenced at once, and by chunks whose partitions are differenced again
+        monkeypatch.setattr(S, "CHUNK", chunk)
+        got = S.shard_documents(docs).collect()
+        load = Counter()
+        for g in got:
+            load[g.shard] += g.size
+        assert len(got) == len(rows) and len(load) == 8
+        # the smallest groups even out what the larger ones leave
+        assert max(load.values()) - min(load.values()) <= 16, load
+    parts = S.difference([([s, 0, 0], [[s], [], []]) for s in sorted(sizes[:60], reverse=True)], 3)
+    loads = [sum(p) for p in parts]
+    greedy = [0, 0, 0]
+    for x in sorted(sizes[:60], reverse=True):
+        greedy[greedy.index(min(greedy))] += x
+    assert sorted(x for p in parts for x in p) == sorted(sizes[:60]) and max(loads) - min(loads) <= max(greedy) - min(greedy)
+
+
 def test_mixing(spark, docs, none):
     from ruleweave.llm.mixing import poisson_count, replicate
 

@@ -110,3 +110,48 @@ def test_near_copies_of_odd_ids(spark):
     assert got.columns == P.COLUMNS
     expected = [(1, texts["a"]), (2, texts["b"]), (3, texts["c"]), (None, texts["d"]), (None, ""), (4, None)]
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(expected)
+
+
+def odd(spark):
+    words = "the sea and the tree by the river of stone in the light ".split()
+    rows = [(i, " ".join(words[(i * 7 + j * j) % len(words)] for j in range(30 + i)), ("en", None)[i % 2], (f"s{i % 3}", None)[i % 4 == 0], 10) for i in range(40)]
+    rows += [(1, None, "en", "s0", None), (None, "", None, None, None), (2, " \n ", "en", "s1", 3), (None, rows[0][1], "en", "s1", 1), (None, None, None, None, None), rows[3], rows[3], (5, "12 -- 34", "en", "s1", 1)]
+    return spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row long, log_weight string").repartition(3), rows
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_with_odd_rows(spark, name):
+    docs, rows = odd(spark)
+    stage = dict(P.STAGES)[name]
+    given = Counter(rows)
+    out = stage(spark, docs, SF)
+    got = Counter(tuple(r) for r in out.collect())
+    if name != "packing":
+        assert out.columns == P.COLUMNS and set(got) <= set(given)
+    if name == "language":
+        lettered = Counter({r: n for r, n in given.items() if any(c.isalpha() for c in r[1] or "")})
+        assert got <= lettered and sum(got.values()) >= 0.9 * sum(lettered.values()) and all(n == given[r] for r, n in got.items())
+    if name == "quality":
+        assert got <= given and all(n == given[r] for r, n in got.items()) and sum(got.values()) > 10
+    if name == "near copies":
+        comp = components(list(enumerate(r[1] for r in rows)))
+        first = {}
+        for i, r in enumerate(rows):
+            key = (r[0] is None, r[0] or 0)
+            if comp[i] not in first or key < first[comp[i]]:
+                first[comp[i]] = key
+        assert sum(got.values()) == len(first) and Counter(r[0] for r in got.elements()) == Counter(None if null else d for null, d in first.values())
+    if name == "mixing":
+        sizes = Counter(r[3] for r in rows)
+        weight = {s: n**0.7 for s, n in sizes.items()}
+        expected = Counter()
+        for r in rows:
+            key = r[0] if r[0] is not None else "md5:" + hashlib.md5((r[1] or "").encode()).hexdigest()
+            expected[r] += poisson(weight[r[3]] * len(rows) / (sum(weight.values()) * sizes[r[3]]), key)
+        assert got == +expected
+    if name == "packing":
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        assert Counter((r.doc_id, r.length) for r in out.collect()) == Counter((r[0], len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in rows)
+    assert stage(spark, docs.limit(0), SF).count() == 0
