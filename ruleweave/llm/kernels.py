@@ -9,8 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes of text that a kernel works on at once; a longer document is cut at white space.
+#: Bytes of text that words are hashed in at once; a longer document is cut at white space.
 WINDOW = 1 << 20
+#: Bytes of text that a task works on at once, about.
+SLICE = 1 << 18
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -31,6 +33,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = mix(np.arange(1, 257, dtype=U))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
+_ARROW = {"boolean": pa.bool_(), "double": pa.float64()}
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -57,7 +60,7 @@ def strings(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = WINDOW) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about ``limit`` bytes, or one longer row."""
     if not batch.num_rows:
         return
@@ -70,6 +73,21 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = WINDOW) -> Iterator[
         at = to
 
 
+def per_text(f, kind: str):
+    """A column function of a text column by ``f`` (Arrow array to Arrow array), which gets about SLICE bytes of texts
+    at once; only the texts go to Python, the other columns stay in the JVM."""
+    from pyspark.sql import functions as F
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            done = [f(part.column("text")) for part in slices(batch, "text")]
+            yield pa.concat_arrays(done) if done else pa.array([], _ARROW[kind])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 def words(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of each text."""
     n = len(buf)
@@ -128,6 +146,21 @@ def code_points(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, places[offs]
 
 
+def stretches(buf: np.ndarray, offs: np.ndarray, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The bytes and offsets of texts, or, of a single text of more than ``limit`` bytes, stretches of it that begin
+    at a character; the last value tells whether a stretch goes on from the one before."""
+    if len(offs) != 2 or len(buf) <= limit:
+        yield buf, offs, False
+        return
+    at = 0
+    while at < len(buf):
+        to = min(len(buf), at + limit)
+        while to < len(buf) and buf[to] & 0xC0 == 0x80:
+            to += 1
+        yield buf[at:to], np.array([0, to - at]), at > 0
+        at = to
+
+
 def owner(offs: np.ndarray) -> np.ndarray:
     """The text that each element belongs to."""
     return np.repeat(np.arange(len(offs) - 1), np.diff(offs))

@@ -8,8 +8,8 @@ The pipeline's stage keeps a text only if its n-grams are about as probable in t
 those that the language was learned from.
 
 Cases: null text or no letter: ``und`` with score 0. Null language: never learned from. Nothing
-to learn from: ``und`` everywhere. Null doc_id: neither learned from nor held out. Repeated
-rows count each. Other columns are ignored, or kept by ``keep_languages``.
+to learn from: ``und`` everywhere. Equal probabilities: the first language by name. Null doc_id: neither learned
+from nor held out. Repeated rows count each. Other columns are ignored, or kept by ``keep_languages``.
 """
 
 from __future__ import annotations
@@ -41,18 +41,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and text of each n-gram, in the order of the texts, and the texts with a letter."""
+def features(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket and text of each n-gram, in the order of the texts, and the texts with a letter; a very long text comes
+    in several stretches that have each n-gram once."""
     lowered = pc.utf8_lower(pc.fill_null(column, ""))
-    points, offs = K.code_points(*K.strings(lowered))
-    own = K.owner(offs)
-    letter = _letters()[points]
-    has = np.zeros(len(offs) - 1, bool)
-    has[own[letter]] = True
-    points = np.where(letter, points, 32).astype(K.U)
-    again = np.zeros(len(points), bool)
-    again[1:] = (points[1:] == 32) & (points[:-1] == 32) & (own[1:] == own[:-1])
-    points, own = points[~again], own[~again]
+    before = np.zeros(0, K.U)
+    for buf, offs, goes_on in K.stretches(*K.strings(lowered)):
+        points, offs = K.code_points(buf, offs)
+        own = K.owner(offs)
+        letter = _letters()[points]
+        has = np.zeros(len(offs) - 1, bool)
+        has[own[letter]] = True
+        points = np.where(letter, points, 32).astype(K.U)
+        if goes_on:
+            points, own = np.concatenate((before, points)), np.zeros(len(before) + len(points), np.int64)
+        again = np.zeros(len(points), bool)
+        again[1:] = (points[1:] == 32) & (points[:-1] == 32) & (own[1:] == own[:-1])
+        points, own = points[~again], own[~again]
+        yield *_grams(points, own, len(before) if goes_on else 0), has
+        before = points[-2:]
+
+
+def _grams(points: np.ndarray, own: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text of each n-gram that ends behind the first ``old`` characters."""
     grams, owners = [], []
     for n in (1, 2, 3):
         if len(points) < n:
@@ -62,15 +73,16 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for j in range(n):
             key = key << K.U(20) | points[j : j + m]
         same = own[:m] == own[n - 1 :]
+        same[: max(0, old - n + 1)] = False
         if n == 1:
             same &= points != 32
         grams.append((K.mix(key[same]) & K.U(BUCKETS - 1)).astype(np.int64))
         owners.append(own[:m][same])
     if not grams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), has
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return np.concatenate(grams)[order], owners[order], has
+    return np.concatenate(grams)[order], owners[order]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +92,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batch, "text"):
             names = part.column("lang").dictionary_encode()
             which = names.indices.to_numpy()
-            bucket, own, _ = features(part.column("text"))
+            of = [counts[lang] for lang in names.dictionary.to_pylist()]
             for k, lang in enumerate(names.dictionary.to_pylist()):
                 docs[lang] += int((which == k).sum())
-                counts[lang] += np.bincount(bucket[which[own] == k], minlength=BUCKETS)
+            for bucket, own, _ in features(part.column("text")):
+                for k, c in enumerate(of):
+                    c += np.bincount(bucket[which[own] == k], minlength=BUCKETS)
     for lang, c in counts.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays(
@@ -111,31 +125,35 @@ class Model:
         self.gain = (counts * gain).sum(0) / size
         self.deviation = np.sqrt(np.maximum((counts * gain**2).sum(0) / size - self.gain**2, 0))
 
-    def _totals(self, bucket: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-        total = np.zeros((n, len(self.languages)))
-        step = max(1 << 12, (1 << 22) // len(self.languages))
-        for a in range(0, len(bucket), step):
-            total += K.sums(self.table[bucket[a : a + step]], own[a : a + step], n)
-        return total
+    def _totals(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability of each text by language, its number of n-grams, and whether it has a letter."""
+        n = len(column)
+        total, grams, has = np.zeros((n, len(self.languages))), np.zeros(n, np.int64), np.zeros(n, bool)
+        step = max(1 << 12, (1 << 20) // max(1, len(self.languages)))
+        for bucket, own, letters in features(column):
+            has |= letters
+            grams += np.bincount(own, minlength=n)
+            for a in range(0, len(bucket), step):
+                total += K.sums(self.table[bucket[a : a + step]], own[a : a + step], n)
+        return total, grams, has
 
     def known(self, column) -> np.ndarray:
         """Whether each text is like the learned texts of the language it is predicted to be in."""
-        bucket, own, has = features(column)
+        total, grams, has = self._totals(column)
         if not self.languages:
             return np.zeros(len(has), bool)
-        total = self._totals(bucket, own, len(has))
         best = (total + self.prior).argmax(1)
-        grams = np.maximum(np.bincount(own, minlength=len(has)), 1)
+        grams = np.maximum(grams, 1)
         gain = total[np.arange(len(has)), best] / grams - self.floor[best]
         usual = self.gain[best] - self.deviation[best] * (FAR + SHORT / np.sqrt(grams))
         # float32 sums differ from the floor by a little where no n-gram is known
         return has & (gain >= np.maximum(usual, LEAST * self.gain[best])) & (gain > 1e-4)
 
     def predict(self, column) -> tuple[list[str], np.ndarray]:
-        bucket, own, has = features(column)
+        total, _, has = self._totals(column)
         if not self.languages:
             return [UNKNOWN] * len(has), np.zeros(len(has))
-        total = self._totals(bucket, own, len(has)) + self.prior
+        total = total + self.prior
         total = np.exp(total - total.max(1, keepdims=True))
         best = total.argmax(1)
         score = total[np.arange(len(has)), best] / total.sum(1)
@@ -149,16 +167,13 @@ def train(docs: DataFrame) -> Model:
     return Model(counted.toArrow())
 
 
-def _predict(shared, pass_on: bool):
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in K.slices(batch, "text"):
-                if pass_on:
-                    yield part.filter(pa.array(model.known(part.column("text"))))
-                else:
-                    lang, score = model.predict(part.column("text"))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                lang, score = model.predict(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -172,12 +187,13 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from those not held out."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", held_out().alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(train(rows.where("not held_out and doc_id is not null")))
-    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(model, False), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a known language: rows without a letter go, and rows
     whose n-grams are too rare in the language predicted for them (``Model.known``), as those of languages and scripts
-    never learned or of letters without sense. Given values of ``lang`` are left as they are."""
+    never learned or of letters without sense. Given values of ``lang`` are left as they are. Only texts go to Python."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out())))
-    return docs.mapInArrow(_predict(model, True), docs.schema)
+    known = K.per_text(lambda part: pa.array(model.value.known(part)), "boolean")
+    return docs.where(known("text"))

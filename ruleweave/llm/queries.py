@@ -11,13 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from ruleweave.llm import oracles
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; Python workers of the session can import this package."""
+#: Rows and bytes of an Arrow batch that goes to a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Python workers of the session can import this package, get small batches, and give memory back that they have
+    no more use for. Called before any of them starts: workers that differ in this are not shared."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     home = os.path.dirname(os.path.dirname(os.path.abspath(ruleweave.__file__)))
     env = spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{home}:{env.get('PYTHONPATH', '')}".rstrip(":")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "1")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer(name: str) -> str:

@@ -41,21 +41,25 @@ UNIT = 1 << 30
 SEED = 20_011
 
 
-def features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of each n-gram of a batch."""
-    buf, offs = K.strings(part.column("text"))
+def features(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and text of each n-gram of texts: words, then character 4-grams, which come in stretches for a very long
+    text; texts ascend within each."""
+    buf, offs = K.strings(column)
     start, _, h = K.words(buf, offs)
-    word_own = np.searchsorted(offs, start, side="right") - 1
-    own = K.owner(offs)
-    m = max(0, len(buf) - 3)
-    key = np.zeros(m, K.U)
-    for j in range(4):
-        key = key << K.U(8) | buf[j : j + m]
-    same = own[:m] == own[3:] if m else np.zeros(0, bool)
-    bucket = np.concatenate(((h & K.U(BUCKETS - 1)).astype(np.int64), (K.mix(key[same]) & K.U(BUCKETS - 1)).astype(np.int64) + BUCKETS))
-    owner = np.concatenate((word_own, own[:m][same]))
-    order = np.argsort(owner, kind="stable")
-    return bucket[order], owner[order]
+    yield (h & K.U(BUCKETS - 1)).astype(np.int64), np.searchsorted(offs, start, side="right") - 1
+    before = buf[:0]
+    for more, ends, goes_on in K.stretches(buf, offs):
+        if goes_on:
+            more = np.concatenate((before, more))
+            ends = np.array([0, len(more)])
+        before = more[-3:]
+        own = K.owner(ends)
+        m = max(0, len(more) - 3)
+        key = np.zeros(m, K.U)
+        for j in range(4):
+            key = key << K.U(8) | more[j : j + m]
+        same = own[:m] == own[3:] if m else np.zeros(0, bool)
+        yield (K.mix(key[same]) & K.U(BUCKETS - 1)).astype(np.int64) + BUCKETS, own[:m][same]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +67,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, "text"):
             good = part.column("good").to_numpy(zero_copy_only=False)
-            bucket, own = features(part)
             share = part.column("share").to_numpy().astype(np.float64)
-            raw += np.bincount(bucket, share[own], 2 * BUCKETS).astype(np.int64)
-            target += np.bincount(bucket[good[own]], minlength=2 * BUCKETS)
+            for bucket, own in features(part.column("text")):
+                raw += np.bincount(bucket, share[own], 2 * BUCKETS).astype(np.int64)
+                target += np.bincount(bucket[good[own]], minlength=2 * BUCKETS)
     at = np.flatnonzero(raw)
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
@@ -85,19 +89,14 @@ def log_ratios(bucket: np.ndarray, raw: np.ndarray, target: np.ndarray) -> np.nd
     return out
 
 
-def _score(shared, schema_names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = shared.value
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                bucket, own = features(part)
-                weight = K.sums(ratios[bucket], own, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema_names), pa.array(weight)], [*schema_names, WEIGHT])
+def log_weights(ratios: np.ndarray, column) -> np.ndarray:
+    """The sum of each text's log ratios."""
+    return sum(K.sums(ratios[bucket], own, len(column)) for bucket, own in features(column))
 
-    return run
 
-
-WEIGHT = "log_weight"
+#: Columns of the results, and reserved names for them beside columns of other tables.
+WEIGHT, KEY = "log_weight", "sample_key"
+OWN_WEIGHT, OWN_KEY = "__resample_weight", "__resample_key"
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -118,10 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return log_ratios(*(table.column(c).to_numpy() for c in ("bucket", "raw", "target"))), share
 
 
-def gumbel_key():
-    """log weight plus Gumbel noise that depends on the document's id only."""
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.col(WEIGHT) - F.log(-F.log(u))
+def gumbel_noise():
+    """Gumbel noise that depends on the document's id only."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(-F.log(u))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -147,28 +146,32 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return sorted((r[0] for r in inside.collect()), reverse=True)[left - 1]
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """doc_id, log_weight, sample_key, kept (true) of the k documents that the sample takes."""
-    return _kept(docs, labels, ["doc_id"], k).withColumn("kept", F.lit(True))
-
-
-def _kept(docs: DataFrame, labels: DataFrame, names: list[str], k: int | None) -> DataFrame:
+def weight_column(docs: DataFrame, labels: DataFrame):
+    """The log weight of ``text`` as a column, and the share of good documents among the labelled."""
     ratios, share = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    return K.per_text(lambda column: pa.array(log_weights(shared.value, column)), "double")("text"), share
 
-    def scored(columns: list[str]) -> DataFrame:
-        need = docs.select(*dict.fromkeys([*columns, "text"]))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in need.select(*columns).schema)
-        return need.mapInArrow(_score(shared, columns), f"{schema}, {WEIGHT} double").withColumn("sample_key", gumbel_key())
 
-    keys = cut(scored(["doc_id"]), "keys")
-    if k is None:
-        k = round(keys.agg(F.sum(F.least(F.lit(1.0), share * F.exp(F.least(WEIGHT, F.lit(700.0)))))).first()[0] or 0)
-    least = kth_largest(keys, "sample_key", k)
-    chosen = keys if names == ["doc_id"] else scored(names)
-    return chosen.where(F.col("sample_key") >= least if least is not None else F.lit(False))
+def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """doc_id, log_weight, sample_key, kept (true) of the k documents that the sample takes."""
+    weight, share = weight_column(docs, labels)
+    keys = docs.select(F.col("doc_id").cast("long"), weight.alias(WEIGHT)).withColumn(KEY, F.col(WEIGHT) + gumbel_noise())
+    keys = cut(keys, "keys")
+    return _above(keys, WEIGHT, KEY, share, k).withColumn("kept", F.lit(True))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
-    return _kept(docs, labels, docs.columns, k).select(*docs.columns)
+    """The sampled rows of ``docs`` with all their columns, whatever their names; only texts go to Python, and each is
+    scored once: the rows are written with their keys."""
+    weight, share = weight_column(docs, labels)
+    keys = cut(docs.withColumn(OWN_WEIGHT, weight).withColumn(OWN_KEY, F.col(OWN_WEIGHT) + gumbel_noise()), "keys")
+    return _above(keys, OWN_WEIGHT, OWN_KEY, share, k).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _above(keys: DataFrame, weight: str, key: str, share: float, k: int | None) -> DataFrame:
+    """The rows whose key is among the k largest."""
+    if k is None:
+        k = round(keys.agg(F.sum(F.least(F.lit(1.0), share * F.exp(F.least(weight, F.lit(700.0)))))).first()[0] or 0)
+    least = kth_largest(keys, key, k)
+    return keys.where(F.col(key) >= least if least is not None else F.lit(False))
