@@ -1,31 +1,35 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph pieces, with SQL functions only.
 
-A text's pieces are runs of at most PIECE_WORDS words within a line; each has a 64-bit digest, and a text
-is the set of its digests. A sketch has ROWS x c cells of (count, xor of digests, xor of their checks); a
+A text's pieces are runs of at most PIECE_WORDS words within a line, a word of more than WORD_CHARS characters (as
+in scripts without spaces) counting as several; each has a 64-bit digest, and a text is the set of its digests.
+Pieces start anew at each line, so a word put into a line moves the pieces behind it up to the line's end only. A sketch has ROWS x c cells of (count, xor of digests, xor of their checks); a
 digest enters one cell of each row. Sketches of two texts subtract cell by cell; a cell left with one
 digest, confirmed by its check, is peeled from its other cells, until all cells are empty: the digests
 peeled are those that differ.
 
 The fingerprint is the sketch of BASE columns. Where its difference cannot be peeled, the digests
 are dealt to 2**k sub-sketches by their low bits, and each is decoded by itself, with columns doubled
-until it succeeds. A sub-sketch that fails at the largest size counts as wholly different.
+until it succeeds. What fails at the largest size too is compared digest by digest.
 
 likeness = (a + b - d) / (a + b + d) for a and b digests of which d differ: the share that both have of
 all that either has; 1 for two texts without words.
 
-Next documents: rows are dealt to id ranges; the first row of each range is also sent to the range that
-precedes it in descending order, so no task sees all rows.
+Next documents: rows are dealt to ranges of ids, and those of an id with many rows (as null) to ranges of a hash of
+their texts; the first row of each range is also sent to the range that precedes it in descending order, so no task
+sees all rows.
 
-Cases: null text: empty. Null doc_id: below all others. Equal doc_ids: by a hash of the text, then the text.
+Cases: null text: empty. Null doc_id: below all others. Equal doc_ids: descending by a hash of the text, then the text.
 One row: it is its own next. Repeated rows follow each other. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE_WORDS = 12
+PIECE_WORDS, WORD_CHARS = 12, 16
 ROWS, BASE = 3, 8
 #: Columns that a sub-sketch is tried with; powers of two.
 SIZES = [4, 8, 16, 32, 64, 128, 256, 512]
@@ -43,7 +47,7 @@ def _column(digest: str, row: int, c: str) -> str:
 
 
 def pieces_sql(text: str) -> str:
-    return rf"array_distinct(transform(regexp_extract_all({text}, '(?:[^ \\n]++ *+){{1,{PIECE_WORDS}}}+', 0), t -> xxhash64(t)))"
+    return rf"array_distinct(transform(regexp_extract_all({text}, '(?:[^ \\n]{{1,{WORD_CHARS}}}+ *+){{1,{PIECE_WORDS}}}+', 0), t -> xxhash64(t)))"
 
 
 def cells_sql(digests: str, c: str) -> str:
@@ -76,10 +80,11 @@ def peel_sql(cells: str, c: str, most: str) -> str:
 
 def differences_sql(a: str, b: str, base_a: str, base_b: str) -> str:
     """The differing digests (array of (k, n), n = 1: only in a) of two arrays of digests whose base
-    sketches are given; null n: a sub-sketch could not be decoded."""
+    sketches are given."""
     result = "struct<ok: boolean, found: array<struct<k: bigint, n: int>>>"
     larger = peel_sql(subtract_sql(cells_sql("w.x", "c"), cells_sql("w.y", "c")), "c", "size(w.x) + size(w.y)")
-    failed = "transform(concat(w.x, w.y), t -> named_struct('k', t, 'n', cast(null as int)))"
+    only = "transform(array_except({0}, {1}), t -> named_struct('k', t, 'n', {2}))"
+    failed = f"concat({only.format('w.x', 'w.y', 1)}, {only.format('w.y', 'w.x', -1)})"
     tries = f"aggregate(array({', '.join(map(str, SIZES))}), cast(null as {result}), (r, c) -> if(coalesce(r.ok, false), r, {larger}), r -> if(r.ok, r.found, {failed}))"
     mine = "named_struct('x', filter({a}, t -> t & (m - 1) = g), 'y', filter({b}, t -> t & (m - 1) = g))".format(a=a, b=b)
     group = f"element_at(transform(array({mine}), w -> {tries}), 1)"
@@ -105,23 +110,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     lowest = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(lowest)))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    place = F.size(F.filter(bounds, lambda b: b < F.col("id")))
-    top = {r["range"]: r["top"] for r in ids.groupBy(place.alias("range")).agg(F.max("id").alias("top")).collect()}
+    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    # an id that is several of the cuts has the rows of several ranges: cut them by their hashes
+    often = {i: k for i, k in Counter(cuts).items() if k > 1}
+    ends = sorted({(i, (2 * j - k) * (1 << 63) // k if i in often else 0) for i, k in Counter(cuts).items() for j in range(k if i in often else 1)})
+    rows = rows.withColumn("at", F.struct("id", (F.xxhash64("text") if often else F.lit(0).cast("long")).alias("h")))
+    pair = "array<struct<id: bigint, h: bigint>>"
+    bounds = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in ends]).cast(pair)
+    place = F.size(F.filter(bounds, lambda b: b < F.col("at")))
+    top = {r["range"]: r["top"] for r in rows.groupBy(place.alias("range")).agg(F.max("at").alias("top")).collect()}
     used = sorted(top)
     after = {r: used[(i + 1) % len(used)] for i, r in enumerate(used)}  # the range whose last row this one's first row follows
     size = (used[-1] + 1) if used else 1
-    tops = F.array(*[F.lit(top.get(i, lowest)) for i in range(size)])
+    tops = F.array(*[F.struct(F.lit(top[i]["id"] if i in top else lowest).cast("long").alias("id"), F.lit(top[i]["h"] if i in top else 0).cast("long").alias("h")) for i in range(size)])
     nexts = F.array(*[F.lit(after.get(i, 0)) for i in range(size)])
     placed = rows.withColumn("range", place)
     guest = F.struct(F.get(nexts, F.col("range")).alias("range"), F.lit(1).alias("guest"))
     own = F.struct(F.col("range"), F.lit(0).alias("guest"))
-    placed = placed.withColumn("at", F.explode(F.when(F.col("id") == F.get(tops, F.col("range")), F.array(own, guest)).otherwise(F.array(own))))
-    placed = placed.select("doc_id", "id", "text", F.col("at.range").alias("range"), F.col("at.guest").alias("guest"))
-    order = Window.partitionBy("range").orderBy("guest", F.desc("id"), F.xxhash64("text"), "text")
+    placed = placed.withColumn("to", F.explode(F.when(F.col("at") == F.get(tops, F.col("range")), F.array(own, guest)).otherwise(F.array(own))))
+    placed = placed.select("doc_id", "id", "text", F.col("to.range").alias("range"), F.col("to.guest").alias("guest"))
+    order = Window.partitionBy("range").orderBy("guest", F.desc("id"), F.xxhash64("text").desc(), "text")
     return placed.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
 
 

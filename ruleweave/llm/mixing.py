@@ -6,10 +6,10 @@ a hash of (seed, doc_id) gives: the number of terms of the cumulative sum that a
 CHUNK are split into equal parts with a number each, whose counts add up (a sum of Poisson counts). Each document
 is exploded by its count, and rows are dealt and sorted by a hash of (seed, doc_id, copy).
 
-Cases: null source: a source of its own. Null doc_id: hashed as the empty string. Null text stays null. Equal
+Cases: null source: a source of its own. Null doc_id: the text's md5 takes its place. Null text stays null. Equal
 doc_ids get equal counts. An empty table stays empty. Sources without a target share get weight by size
-to the power ``temper``; with explicit targets they get none. All columns are kept; clashing names of
-other columns are no problem, as added columns have reserved names until the end.
+to the power ``temper``; with explicit targets they get none. All columns are kept; columns of the input that are
+named as one of the three added ones are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.shared import BROADCAST_ROWS
+from ruleweave.llm.shared import BROADCAST_ROWS, cut
 
 SEED = "mix-1"
 #: Source shares go with size to this power: 1 keeps the proportions, 0 makes sources equal.
 TEMPER = 0.7
 #: Greatest mean that is inverted at once, and terms of the sum that are looked at.
 CHUNK, TERMS = 8.0, 64
+#: Columns that are added, and how names begin that are reserved until the end.
+ADDED, OWN = ("mix_rate", "mix_count", "mix_copy"), "__mix_"
 
 
 def uniform(*parts: Column) -> Column:
@@ -57,25 +59,27 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, tempe
     else:
         given = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]) if targets else F.create_map().cast("map<string,double>")
         weighted = sizes.withColumn("w", F.coalesce(given[F.coalesce("mix_source", F.lit(""))], F.lit(0.0)).cast("double"))
-    both = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    return weighted.crossJoin(F.broadcast(both)).select(
-        "mix_source", F.coalesce(F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n")), F.lit(0.0)).alias("mix_rate")
-    )
+    weighted = cut(weighted, "sources")
+    all_n, all_w = weighted.agg(F.sum("n"), F.sum("w")).first()
+    share = F.try_divide(F.col("w") * F.lit(all_n), F.lit(all_w) * F.col("n"))
+    return weighted.select("mix_source", F.coalesce(share, F.lit(0.0)).alias("mix_rate"))
 
 
 def replicate(docs: DataFrame, targets: dict[str, float] | None = None, temper: float = TEMPER, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, repeated and shuffled, with mix_rate, mix_count and mix_copy (from 0)."""
-    rates = source_rates(docs, targets, temper)
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    rates = source_rates(docs, targets, temper).toDF(f"{OWN}source", f"{OWN}rate")
+    same = F.col("source").eqNullSafe(F.col(f"{OWN}source"))
     if rates.count() <= BROADCAST_ROWS:
-        rated = docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("mix_source")), "left")
+        rated = docs.join(F.broadcast(rates), same, "left")
     else:  # too many sources to send to every task: the hot ones are spread over salts
         salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = docs.withColumn("mix_own", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        rated = rows.join(salted, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_own") == F.col("mix_salt")), "left").drop("mix_salt", "mix_own")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    counted = rated.withColumn("mix_count", poisson_count(F.col("mix_rate"), name, seed)).where("mix_count > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
-    order = F.xxhash64(F.lit(seed), name, "mix_copy")
-    dealt = copies.withColumn("mix_order", order)
-    return dealt.repartition("mix_order").sortWithinPartitions("mix_order").drop("mix_source", "mix_order")
+        salted = rates.withColumn(f"{OWN}salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = docs.withColumn(f"{OWN}mine", F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int"))
+        rated = rows.join(salted, same & (F.col(f"{OWN}mine") == F.col(f"{OWN}salt")), "left")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("md5:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    counted = rated.withColumn(f"{OWN}count", poisson_count(F.col(f"{OWN}rate"), name, seed)).where(f"{OWN}count > 0")
+    copies = counted.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(0), F.col(f"{OWN}count") - 1)))
+    dealt = copies.withColumn(f"{OWN}order", F.xxhash64(F.lit(seed), name, f"{OWN}copy"))
+    dealt = dealt.repartition(f"{OWN}order").sortWithinPartitions(f"{OWN}order")
+    return dealt.select(*columns, *(F.col(f"{OWN}{c.removeprefix('mix_')}").alias(c) for c in ADDED))

@@ -65,18 +65,15 @@ def _difference_sizes(size: np.ndarray, k: int) -> list[list[int]]:
 def _local(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        d1, d2, size = [], [], []
-        for b in batches:
-            d1 += b.column("d1").to_pylist()
-            d2 += b.column("d2").to_pylist()
-            size += b.column("group_bytes").to_pylist()
-        if not size:
+        held = [[b.column(c).to_numpy() for c in ("d1", "d2", "group_bytes")] for b in batches if b.num_rows]
+        if not held:
             return
-        parts = _difference_sizes(np.array(size, np.int64), k)
+        d1, d2, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        parts = _difference_sizes(size, k)
         at = np.concatenate([np.array(p, np.int64) for p in parts])
         part = np.repeat(np.arange(k), [len(p) for p in parts])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(x, np.int64)[at]) for x in (d1, d2, size)] + [pa.array(np.full(len(at), task, np.int64)), pa.array(part)],
+            [pa.array(x[at]) for x in (d1, d2, size)] + [pa.array(np.full(len(at), task, np.int64)), pa.array(part)],
             ["d1", "d2", "group_bytes", "task", "part"],
         )
 
@@ -95,7 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
         long(1).alias("d1"),
         long(16).alias("d2"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"),
     )
     rows = cut(rows, "rows")
     salted = rows.groupBy("d1", "d2", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

@@ -177,7 +177,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> list[tuple[str, int]]:
     """Encode ``docs`` into files; (path, ids of all files before it) in doc_id order."""
     folder = folder or new_folder(docs.sparkSession, "ids")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part long, path string, n long").collect())
     before, out = 0, []
     for _, path, n in rows:

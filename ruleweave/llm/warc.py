@@ -11,7 +11,7 @@ length, and no payload.
 Tasks write files under names of their own attempt in the shared folder, and only files that tasks reported
 are read. Cases: null html: empty payload. Null url: the record's own urn. Null page_id: written without a
 number; never referred to, a revisit where an equal payload has a page_id. Rows with equal page_id: each
-gets a record, none revisits another of the same id. An empty table gives no file. Other columns are ignored.
+gets a record, none revisits another of the same id, and all with the largest one are responses. An empty table gives no file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.shared import cut, join_checked, new_folder
+from ruleweave.llm.shared import cut, join_checked, join_rows, new_folder
 
 REVISIT_BYTES = 1000
 LEVEL = 6
@@ -197,7 +197,7 @@ def revisits(pages: DataFrame) -> DataFrame:
     ids = pages.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", F.sha1(payload).alias("digest"))
     ids = cut(ids, "digests")
     last = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    hit = ids.join(last, "digest").where("page_id is null or page_id < refers_to")
+    hit = join_rows(ids, last, "digest").where("page_id is null or page_id < refers_to")
     return hit.select("page_id", "digest", "refers_to").distinct()
 
 
