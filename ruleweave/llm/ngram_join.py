@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm import kernels as K
-from ruleweave.llm.shared import BROADCAST_ROWS, cut
+from ruleweave.llm.shared import BROADCAST_ROWS, cut, discard, join_rows
 
 SHINGLE = 5
 #: Links need 100 * intersection >= SHARE * union.
@@ -132,12 +132,14 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 #: Tokens that a task holds before it sends them on; low bits of tokens and nodes that are sent.
 HELD_TOKENS = 1_000_000
+#: Tokens that meet in one task, about.
+PART_TOKENS = 2_000_000
 LOW = K.U((1 << 48) - 1)
 
 
 def _blobs(parts: int):
     """Rows (part, blob): 48 bits each of tokens and of one or two different nodes that have them;
-    a token goes to the part that its other 16 bits choose."""
+    a token goes to the part that its upper 32 bits choose."""
 
     def pack(tokens: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         token = np.concatenate(tokens)
@@ -148,7 +150,7 @@ def _blobs(parts: int):
         token, lo, hi = token[first], np.minimum.reduceat(node, first), np.maximum.reduceat(node, first)
         two = lo != hi
         token, node = np.concatenate((token, token[two])), np.concatenate((lo, hi[two]))
-        part = (token >> K.U(48)).astype(np.int64) % parts
+        part = (token >> K.U(32)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
         token, node, part = token[order] & LOW, node[order], part[order]
         rows = np.empty((len(token), 3), np.uint32)
@@ -187,26 +189,22 @@ def _live(table: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array(token[first][two].view(np.int64))})
 
 
-#: Bits of the map of live tokens that all tasks get: a fixed size; where it fills up it only lets
-#: more tokens through to the exact join.
-MAP_BITS = 1 << 24
+#: Least and most bits of the map of live tokens that all tasks get (64 MB at most). It has 8 to 16 bits a live
+#: token; beyond its greatest size it only lets more tokens through to the exact join.
+MAP_BITS = 1 << 20, 1 << 29
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bitmap = np.zeros(MAP_BITS, bool)
-    for batch in batches:
-        bitmap[batch.column("token").to_numpy() & (MAP_BITS - 1)] = True
-    packed = np.packbits(bitmap).view(np.int64)
-    at = np.flatnonzero(packed)
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["word", "bits"])
+def map_bits(live: int) -> int:
+    least, most = MAP_BITS
+    return min(most, max(least, 1 << (8 * max(live, 1) - 1).bit_length()))
 
 
 def _maybe(shared):
     """(token, node, doc_id) of prefix tokens that the map of live tokens lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(shared.value.view(np.uint8)).astype(bool)
+        bitmap = shared.value.view(K.U)
+        last = K.U(64 * len(bitmap) - 1)
         rows: list[tuple] = []
         held = 0
 
@@ -221,7 +219,7 @@ def _maybe(shared):
         for doc_id, node, s in _new_sets(batches):
             m, least = long_prefix(len(s))
             token = s[:m] & LOW
-            token = token[bitmap[(token & K.U(MAP_BITS - 1)).astype(np.int64)]]
+            token = token[(bitmap[((token & last) >> K.U(6)).astype(np.int64)] >> (token & K.U(63)) & K.U(1)).astype(bool)]
             if len(token) >= least:
                 rows.append((doc_id, node, token))
                 held += len(token)
@@ -318,13 +316,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.selectExpr("node2", "node"))
         least = both.groupBy("node").agg(F.min("node2").alias("m")).withColumn("m", F.least("m", "node"))
-        large = both.join(least, "node").where("node2 > node").selectExpr("node2 as node", "m as node2").where("node != node2").distinct()
-        down = large.selectExpr("greatest(node, node2) as node", "least(node, node2) as node2")
+        # a hub that is the least of its neighbours keeps them; only others are looked up
+        large = join_rows(both.where("node2 > node"), least, "node").selectExpr("node2 as node", "m as node2").where("node != node2").distinct()
+        down = cut(large.selectExpr("greatest(node, node2) as node", "least(node, node2) as node2"), "down")
         least = down.groupBy("node").agg(F.min("node2").alias("m"))
-        small = down.join(least, "node")
+        small = join_rows(down, least, "node")
         new = cut(small.selectExpr("node2 as node", "m as node2").union(least.selectExpr("node", "m as node2")).where("node != node2").distinct(), "edges")
         # done when every node hangs on one root and no root hangs on a node
         ends = new.groupBy("node").agg(F.count("*").alias("k")).join(new.selectExpr("node2 as root").distinct(), F.col("node") == F.col("root"), "left").where("k > 1 or root is not null")
+        discard(edges, down)
         edges = new
         if ends.isEmpty():
             return edges.selectExpr("node", "node2 as comp")
@@ -336,18 +336,29 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sets = cut(docs.mapInArrow(_names, "doc_id long, node long, n long"), "sets")
     comp = _links(docs, _candidates(spark, docs, sets))
-    names = sets.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
-    least = names.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return names.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    comp = comp.union(comp.selectExpr("comp", "comp").distinct())  # roots are in their components
+    # least id of each set, then of each component; whatever the copies, a set and a component have one row each here
+    alone = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    names = cut(alone.join(comp, "node", "left"), "names")
+    joined = names.where("comp is not null")
+    least = joined.groupBy("comp").agg(F.min("least").alias("id"))
+    ids = join_rows(joined.select("node", "comp"), least, "comp").select("node", "id")
+    ids = cut(ids.union(names.where("comp is null").select("node", "least")), "ids")
+    own = join_rows(sets.where("n > 0"), ids, "node").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("component_id"))
+    return own.union(sets.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def _candidates(spark, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, doc_id): one document of each set that order A leaves."""
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the tokens that are sent, at most, tell how many parts there are
+    sent = sets.agg(F.sum(F.least("n", 2 * (F.col("n") - F.ceil(SHARE * F.col("n") / 100) + 1)))).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // PART_TOKENS))
     blobs = docs.mapInArrow(_blobs(parts), "part int, blob binary")
     live = cut(blobs.groupBy("part").applyInArrow(_live, "token long").distinct(), "live")
-    words = live.mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(MAP_BITS // 64, np.int64)
+    bits = map_bits(live.count())
+    spread = live.selectExpr(f"cast(shiftrightunsigned(token & {bits - 1}L, 6) as int) as word", "shiftleft(1L, cast(token & 63 as int)) as bit")
+    words = spread.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     maybe = docs.mapInArrow(_maybe(spark.sparkContext.broadcast(bitmap)), "token long, node long, doc_id long")
     found = maybe.join(live, "token").groupBy("node", "doc_id").agg(F.count("*").alias("k"))
@@ -369,6 +380,7 @@ def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     shared = shared.join(whole.select("node", "n").distinct(), "node").where(f"100 * size(live) >= {SHARE} * n")
     ordered = cut(shared.mapInArrow(_order, "node long, n long, live long, b array<long>, c array<long>"), "ordered")
     nodes = cut(whole.join(ordered.select("node", "c"), "node"), "nodes")
+    discard(whole)
     # most: tokens from this one on; a linked pair meets at its first common token, so it has no more in common
     member = ordered.select("node", "n", "live", F.posexplode("b").alias("pos", "token")).selectExpr("node", "n", "live", "token", "live - pos as most")
     comp, links, seen, last = None, None, None, False
@@ -395,6 +407,7 @@ def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             pairs = pairs.join(seen, ["node", "node2"], "left_anti")
         full = pairs.join(nodes.select("node", "tokens", "c"), "node").join(nodes.selectExpr("node as node2", "tokens as tokens2", "c as c2"), "node2")
         judged = cut(full.select("node", "node2", "tokens", "tokens2", "c", "c2").mapInArrow(_verify, "node long, node2 long, link boolean"), "judged")
+        discard(state)
         found = judged.where("link").select("node", "node2")
         seen = judged.select("node", "node2") if seen is None else seen.union(judged.select("node", "node2"))
         links = found if links is None else links.union(found)

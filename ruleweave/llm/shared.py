@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: A key with more than this part of a table's rows is hot.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Where the session has none (local tests), a temporary folder is set once.
+    Where a local session has none (tests), a temporary folder is set once; a cluster must name it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,7 +45,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{new_folder(spark, name)}/t"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables made by ``cut`` that nothing is going to read any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
@@ -50,5 +66,19 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
 
 
+def join_rows(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join many rows of ``left`` with the one row that ``right`` has of each key. A key with more than a
+    HOT-th of the rows of ``left`` would fill one task: at most HOT keys can have so many, so their rows of ``right``
+    are broadcast, and only the others are shuffled. Both sides should be written tables: they are read twice."""
+    rows = left.count()
+    counts = left.where(F.col(on).isNotNull()).groupBy(on).count().where(f"count > {rows // HOT}").select(on)
+    keys = [r[0] for r in counts.limit(HOT + 1).collect()]
+    if not keys:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in keys], counts.schema))
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    return left.join(hot, on, "left_semi").join(few, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+
+
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
