@@ -6,26 +6,24 @@ A table is a list of row plans, in order: a static row is an object of column ru
 ``$iteration`` plus or minus a number reads other rows.
 
 Plans without such reads are array transforms. Reads of earlier rows only are folds over the iterations, and reads
-of later rows only are folds over the iterations in reverse, all in the JVM. Tables that read both ways are
-settled by sweeps in alternating direction (SWEEPS at most) over a row's numbers, in Arrow batches.
+of later rows only are folds over the iterations in reverse. Tables that read both ways are settled by sweeps in
+alternating direction, SWEEPS at most. All of it is in the JVM, with every operator.
 """
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleweave.config import RuleError
 from ruleweave.functions import values as V
 from ruleweave.functions.values import Val, num
 from ruleweave.operators.basic import toward_zero
 from ruleweave.operators.lookups import path_in
 from ruleweave.paths import dotted
-from ruleweave.plans.compiler import Compiler, is_rule
+from ruleweave.plans.compiler import Compiler
 from ruleweave.plans.scope import Frame, Scope
 
 SWEEPS = 100
@@ -127,7 +125,7 @@ class GeneratedTable:
             return Val(rows, T.ArrayType(kind), nullable=False)
         ahead = [o for o, _ in reads if o is not None and o > 0]
         if ahead and len(ahead) < len([o for o, _ in reads if o != 0.0]):
-            return self._settle(c, s, template, start, end, run)
+            return self._settle(c, s, template, run, start, extra)
         return self._fold(c, s, template, run, start, extra, backward=bool(ahead))
 
     def _fold(self, c: Compiler, s: Scope, template: dict, run: Column, start: Column, extra, backward: bool) -> Val:
@@ -156,29 +154,29 @@ class GeneratedTable:
             kind = made
         return T.StructType([T.StructField(f.name, f.dataType) for f in kind])
 
-    def _settle(self, c: Compiler, s: Scope, template: dict, start: Column, end: Column, run: Column) -> Val:
-        """Numbers of rows that read both ways: cells are settled by sweeps in alternating direction."""
-        rules = {k: unwrap(v) for k, v in template.items()}
-        outer = sorted({p for r in rules.values() for p in _outer_paths(r, self.name, set(template))})
-        values = {p: V.to_num(s.lookup(p)) for p in outer}
-        kind = T.ArrayType(T.StructType([T.StructField(k, T.DoubleType()) for k in template]))
-        work, name = json.dumps(rules), self.name
-
-        def settle(iterator):
-            import pandas as pd
+    def _settle(self, c: Compiler, s: Scope, template: dict, run: Column, start: Column, extra) -> Val:
+        """Rows that read both ways: all cells are computed in sweeps of alternating direction until none changes."""
+        kind = self._types(c, s, template, extra)
+        array, first = T.ArrayType(kind), start.cast("long")
 
-            rules = json.loads(work)
-            for lo, hi, *given in iterator:
-                out = [_sweep(rules, name, int(a), int(b), dict(zip(outer, g, strict=True))) for a, b, *g in zip(lo, hi, *given, strict=True) for g in [g]]
-                yield pd.Series(out)
+        def row(rows: Column, at: Column) -> Column:
+            i = first + at
+            inner = _with_self(c, s, self.name, _SelfTable(Val(rows, array), num(F.lit(0.0)), False, i, first))
+            return self._struct(self._cells(inner, s, template, extra(i))).col.cast(kind)
 
-        from collections.abc import Iterator
+        def sweep(rows: Column, order: Column) -> Column:
+            return F.aggregate(order, rows, lambda done, at: F.transform(done, lambda r, k: F.when(k == at, row(done, at)).otherwise(r)))
 
-        import pandas as pd
+        def step(state: Column, n: Column) -> Column:
+            last = F.size(state["rows"]) - 1
+            order = F.when(n % 2 == 1, F.sequence(F.lit(0), last)).otherwise(F.sequence(last, F.lit(0)))
+            after = F.transform(F.array(state["rows"]), lambda rows: sweep(rows, order))
+            made = F.transform(after, lambda rows: F.struct(rows.alias("rows"), (~rows.eqNullSafe(state["rows"])).alias("go")))
+            return F.when(state["go"], F.get(made, F.lit(0))).otherwise(state)
 
-        settle.__annotations__ = {"iterator": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
-        udf = F.pandas_udf(settle, kind)
-        return Val(udf(start, end, *values.values()), kind, nullable=False)
+        blank = F.transform(run, lambda i: F.lit(None).cast(kind))
+        begin = F.struct(blank.alias("rows"), (F.size(run) > 0).alias("go"))
+        return Val(F.aggregate(F.sequence(F.lit(1), F.lit(SWEEPS)), begin, step, lambda state: state["rows"]), array, nullable=False)
 
 
 class _SelfTable:
@@ -220,65 +218,3 @@ def _with_self(c: Compiler, s: Scope, name: str, own: _SelfTable) -> Compiler:
             return super().value(rule, scope)
 
     return Inner(c.config)
-
-
-def _outer_paths(rule: Any, name: str, columns: set[str]) -> set[str]:
-    from ruleweave.plans.compiler import referenced
-
-    known = {"$iteration", "$threshold", name} | {f"${k}" for k in columns}
-    return {p for p in referenced(rule) if dotted(p) not in known}
-
-
-def _sweep(rules: dict, name: str, lo: int, hi: int, given: dict[str, float]) -> list[dict]:
-    rows = [dict.fromkeys(rules, 0.0) for _ in range(lo, hi + 1)]
-    for sweep in range(SWEEPS):
-        changed = False
-        order = range(len(rows)) if sweep % 2 == 0 else range(len(rows) - 1, -1, -1)
-        for at in order:
-            for column, rule in rules.items():
-                new = _number(rule, name, rows, at, lo, hi, given)
-                changed |= new != rows[at][column]
-                rows[at][column] = new
-        if not changed:
-            break
-    return rows
-
-
-def _number(rule: Any, name: str, rows: list[dict], at: int, lo: int, hi: int, given: dict[str, float]) -> float | None:
-    """A rule of numbers, for tables that need sweeps."""
-    if isinstance(rule, bool) or rule is None:
-        return float(bool(rule))
-    if isinstance(rule, (int, float)):
-        return float(rule)
-    if not isinstance(rule, dict) or not is_rule(rule):
-        raise RuleError(f"tables that read rows both ways take rules of numbers, not {rule!r}")
-    op, raw = next(iter(rule.items()))
-    if (path := path_in(rule)) is not None:
-        key = dotted(path)
-        if key == "$iteration":
-            return float(lo + at)
-        if key == "$threshold":
-            return float(hi)
-        return rows[at][key[1:]] if key[1:] in rows[at] and key[0] == "$" else given.get(path, 0.0)
-    args = raw if isinstance(raw, list) else [raw]
-    if op in ("VALUEAT", "valueat"):
-        place = int(_number(args[1], name, rows, at, lo, hi, given))
-        return (rows[place].get(args[2], 0.0) or 0.0) if 0 <= place < len(rows) else 0.0
-    v = [_number(a, name, rows, at, lo, hi, given) or 0.0 for a in args] if op not in ("if",) else []
-    if op == "if":
-        test = _number(args[0], name, rows, at, lo, hi, given)
-        return _number(args[1 if test else 2], name, rows, at, lo, hi, given)
-    simple = {"+": sum, "max": max, "min": min, "abs": lambda x: abs(x[0])}
-    if op in simple:
-        return float(simple[op](v))
-    pair = {
-        "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b if b else 0.0, "%": lambda a, b: a % b if b else 0.0,
-        "<": lambda a, b: float(a < b), "<=": lambda a, b: float(a <= b), ">": lambda a, b: float(a > b), ">=": lambda a, b: float(a >= b),
-        "==": lambda a, b: float(a == b), "!=": lambda a, b: float(a != b),
-    }
-    if op in pair and len(v) >= 2:
-        out = v[0]
-        for x in v[1:]:
-            out = pair[op](out, x)
-        return out
-    raise RuleError(f"{op} is not among the operators of tables that read rows both ways")

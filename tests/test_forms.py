@@ -221,6 +221,19 @@ def test_generated_tables(spark):
     assert FormEngine({"properties": {"t": back}}, spark.range(1)).evaluate().df.first().t == []
 
 
+def test_tables_that_read_both_ways_take_any_operator(spark):
+    at = lambda by, c: {"VALUEAT": [v("t"), {"+": [{"$ref": "$iteration"}, by]}, c]}
+    node = {"$table": [{"$repeat": [0, ev(v("n")), {
+        "name": ev({"cat": [{"ifnull": [at(-1, "name"), "<"]}, {"$ref": "$iteration"}]}), "rest": ev({"cat": [{"$ref": "$iteration"}, {"ifnull": [at(1, "rest"), ">"]}]}),
+        "kind": ev({"if": [{"in": ["2", {"var": "$rest"}]}, {"CONCAT": [{"var": "$name"}, "!"]}, "late"]}), "day": ev({"DATEFORMAT": ["2024-01-15", "iso"]}),
+    }]}]}
+    got = {r.n: [tuple(x) for x in r.t] for r in FormEngine({"properties": {"n": {"type": "number"}, "t": node}}, spark.createDataFrame([(3.0,), (0.0,), (-1.0,)], "n double")).evaluate().df.collect()}
+    assert got == {
+        3.0: [("<0", "0123>", "<0!", "2024-01-15"), ("<01", "123>", "<01!", "2024-01-15"), ("<012", "23>", "<012!", "2024-01-15"), ("<0123", "3>", "late", "2024-01-15")],
+        0.0: [("<0", "0>", "late", "2024-01-15")], -1.0: [],
+    }
+
+
 def test_large_tables(spark, monkeypatch):
     import ruleweave.plans.joins as J
 
