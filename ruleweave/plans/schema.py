@@ -23,7 +23,7 @@ from ruleweave.config import DEFAULT, EngineConfig, RuleError
 from ruleweave.functions import values as V
 from ruleweave.functions.values import Val
 from ruleweave.operators.tables import GeneratedTable, unwrap
-from ruleweave.paths import dotted
+from ruleweave.paths import dotted, to_pointer
 from ruleweave.plans.changes import Propagation, change, either
 from ruleweave.plans.compiler import Compiler, is_rule, referenced
 from ruleweave.plans.joins import JoinPlan, numbered
@@ -299,6 +299,25 @@ class _Tree(Frame):
         return None
 
 
+def _json(v: Val) -> Column:
+    """JSON of a value; whole numbers have no fraction."""
+    if v.kind == "num":
+        return F.coalesce(V.number_text(v.col.cast("double")), F.lit("null"))
+    text = F.to_json(F.array(v.col), {"ignoreNullFields": "false"})
+    return F.coalesce(F.substring(text, 2, 2_000_000_000).substr(F.lit(1), F.length(text) - 2), F.lit("null"))
+
+
+def _joined(parts: list) -> list:
+    """Neighbouring texts as one."""
+    out: list = []
+    for x in parts:
+        if isinstance(x, str) and out and isinstance(out[-1], str):
+            out[-1] += x
+        else:
+            out.append(x)
+    return out
+
+
 def _quoted(keys: list[str]) -> list[Column]:
     return [F.col(f"`{k}`") for k in keys]
 
@@ -629,6 +648,46 @@ class FormEngine:
         found = {p: scope.lookup(p) for p in paths}
         return self.plan.df.select(*_quoted(keys), *[v.col.alias(dotted(p)) for p, v in found.items()])
 
+    def resolved_schema(self, keys: list[str], path: str = "", params: bool = True) -> DataFrame:
+        """(keys, schema): the schema's JSON with each evaluation replaced by its value in the document, or the part of it
+        at a dotted path or pointer; without ``$params`` if params is false."""
+        node: Any = self.schema.root if params else {k: x for k, x in self.schema.root.items() if k != "$params"}
+        for step in [x for x in to_pointer(path).split("/") if x]:
+            inside = node.get("properties", {}) if isinstance(node, dict) and step not in node else node
+            node = inside[int(step)] if isinstance(inside, list) else inside.get(step) if isinstance(inside, dict) else None
+        scope, where = self.scope(), {id(f.node): p for p, f in self.schema.fields.items()}
+        tables = {id(t.plans): name for name, t in self.schema.tables.items()}
+
+        def parts(x: Any, at: str | None) -> list:
+            """Literal texts and columns that make up the JSON of a node; at: the field or parameter that it is."""
+            if isinstance(x, dict) and ("$evaluation" in x or "$table" in x):
+                own = tables.get(id(x["$table"])) if "$table" in x else at
+                own = own if own in self.computed else None
+                value = self.scope_value(scope, own) if own else None if "$table" in x else self.compiler.value(evaluation(x), scope)
+                return ["null"] if value is None or value.kind == "null" else [_json(value)]
+            if isinstance(x, dict):
+                here, out = where.get(id(x)), ["{"]
+                for i, (k, child) in enumerate(x.items()):
+                    inner = here if k == "value" and here else f"{at}.{k}" if at else "$params" if k == "$params" and x is self.schema.root else where.get(id(child)) if isinstance(child, dict) else None
+                    out += [("," if i else "") + json.dumps(k) + ":", *parts(child, inner)]
+                return [*out, "}"]
+            if isinstance(x, list):
+                return ["[", *[y for i, child in enumerate(x) for y in ([","] if i else []) + parts(child, None)], "]"]
+            return [json.dumps(x)]
+
+        found = [F.lit(x) if isinstance(x, str) else x for x in _joined(parts(node, None))]
+        return self.plan.df.select(*_quoted(keys), F.concat(*found).alias("schema"))
+
+    @staticmethod
+    def scope_value(scope: Scope, name: str) -> Val | None:
+        return scope.data.find(name.split("."))
+
+    def reload(self, schema: dict | str) -> FormEngine:
+        """The same documents, given values and tables under another schema."""
+        given = {c.removesuffix("#given") for c in self.df.columns if c.endswith("#given")}
+        docs = self.df.select(*[F.col(f"`{c}#given`" if c in given else f"`{c}`").alias(c) for c in self.inputs])
+        return FormEngine(schema, docs, self.tables, self.context, self.config)
+
     def subform(self, path: str, keys: list[str], **options) -> FormEngine:
         """The items of an array field as documents of their own, with ``_pos``; parents' fields stay visible."""
         root = next(iter(self.schema.subforms[path].root["properties"]))

@@ -294,6 +294,61 @@ def test_sources(spark, tmp_path, capsys):
     assert [json.loads(x)["code"] for x in capsys.readouterr().out.splitlines()] == ["a.maxValue"]
 
 
+def test_command_line_compares_and_prints(spark, tmp_path, capsys):
+    from ruleweave.__main__ import main
+
+    (tmp_path / "d.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "s.json").write_text(json.dumps({"properties": {"a": {"type": "number"}, "c": {"value": ev({"+": [v("a"), 1]})}}}))
+    (tmp_path / "ok.json").write_text('{"a": 1, "c": 2}\n{"a": 2, "c": 3}\n')
+    (tmp_path / "bad.json").write_text('{"a": 1, "c": 2}\n{"a": 2, "c": 4}\n')
+    given = ["-s", str(tmp_path / "s.json"), "-d", str(tmp_path / "d.json")]
+    main([*given, "--compare", str(tmp_path / "ok.json"), "--no-output", "-i", "2", "--print-all"])
+    shown = capsys.readouterr()
+    printed = {k: x for line in shown.out.splitlines() for k, x in json.loads(line).items()}
+    assert printed["sorted-evaluations"] == [["c"]] and printed["dependencies"] == {"c": []} and shown.err.count("iteration") == 2
+    with pytest.raises(SystemExit):
+        main([*given, "--compare", str(tmp_path / "bad.json"), "--compare-path", "c", "--no-output"])
+    assert json.loads(capsys.readouterr().out) == {"document": 1, "expected": 4, "got": 3}
+
+
+def test_messagepack(spark, tmp_path):
+    from ruleweave.sources.msgpack import pack, read_msgpack, read_packed_schema, unpack, unpack_all
+
+    x = {"a": [1, -1, 127, 128, -33, 2**40, 1.5, True, None], "é" * 40: "t" * 70_000, "deep": [{"k": i} for i in range(20)], "m": {str(i): i for i in range(17)}}
+    assert unpack(pack(x)) == x and list(unpack_all(pack(1) + pack("b"))) == [1, "b"]
+    # one of each kind, as the format's description writes them
+    assert list(unpack_all(bytes.fromhex("cc80 cdffff ce00010000 d080 d18000 ca3fc00000 d90161 c40101 dc000101 de0001a16101 e0 c3".replace(" ", "")))) == [128, 65535, 65536, -128, -32768, 1.5, "a", "01", [1], {"a": 1}, -32, True]
+    for bad in (b"\xdb\x00\x00", b"\xc1"):
+        with pytest.raises(ValueError):
+            unpack(bad)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mp").write_bytes(pack({"id": 1, "x": 2.5}) + pack({"id": 2}))
+    (tmp_path / "in" / "b.mp").write_bytes(pack({"id": 3, "x": 1}))
+    got = read_msgpack(spark, str(tmp_path / "in"), "id int, x double").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 2.5), (2, None), (3, 1.0)]
+    (tmp_path / "s.mp").write_bytes(pack({"properties": {"y": {"value": ev({"*": [v("x"), 2]})}}}))
+    e = FormEngine(read_packed_schema(spark, str(tmp_path / "s.mp")), spark.createDataFrame(got, "id int, x double")).evaluate()
+    assert [r.y for r in e.df.orderBy("id").collect()] == [5.0, 0.0, 2.0]
+
+
+def test_resolved_schema(spark):
+    schema = {"$params": {"k": ev({"+": [1, 2]}), "list": [1, "a", None]}, "properties": {
+        "a": {"type": "number", "title": "A \"x\""}, "b": {"type": "number", "value": ev({"*": [v("a"), 2]}), "condition": {"hidden": ev({">": [v("a"), 1]})}},
+        "t": {"$table": [{"$repeat": [0, 1, {"i": ev({"$ref": "$iteration"}), "s": "x"}]}]}, "c": {"type": "string", "rules": {"minLength": {"value": ev({"+": [v("a"), 0.5]})}}},
+    }}
+    e = FormEngine(schema, spark.createDataFrame([(1, 1.0), (2, 2.0)], "id int, a double")).evaluate()
+    got = {r.id: json.loads(r.schema) for r in e.resolved_schema(["id"]).collect()}
+    assert got[2] == {"$params": {"k": 3, "list": [1, "a", None]}, "properties": {
+        "a": {"type": "number", "title": "A \"x\""}, "b": {"type": "number", "value": 4, "condition": {"hidden": True}},
+        "t": [{"i": 0.0, "s": "x"}, {"i": 1.0, "s": "x"}], "c": {"type": "string", "rules": {"minLength": {"value": 2.5}}},
+    }}
+    assert got[1]["properties"]["b"]["condition"] == {"hidden": False}
+    assert {r.id: r.schema for r in e.resolved_schema(["id"], "b.value").collect()} == {1: "2", 2: "4"}
+    assert set(json.loads(e.resolved_schema(["id"], params=False).first().schema)) == {"properties"}
+    again = e.reload({"properties": {"b": {"value": ev({"-": [v("a")]})}}}).evaluate()
+    assert [r.b for r in again.df.orderBy("id").collect()] == [-1.0, -2.0]
+
+
 def test_custom_operator(spark):
     from pyspark.sql import types as T
 
