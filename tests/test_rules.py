@@ -11,7 +11,7 @@ from ruleweave.plans.engine import evaluate, plain, run_json
 DATA = {
     "a": 1, "n": 42, "neg": -7.5, "t": True, "f": False, "s": "abc", "num": "123", "empty": "", "u": "Hello 世界 🌍", "csv": "a,b,c,d,e",
     "numbers": [1, 2, 3, 4, 5], "none": [], "words": ["x", "y"], "d": "1990-05-15T10:30:00Z", "e": "2024-02-29", "o": {"b": {"c": 5}},
-    "users": [{"name": "Alice", "age": 30, "active": True}, {"name": "Bob", "age": 25, "active": False}, {"name": "Charlie", "age": 35, "active": True}],
+    "users": [{"name": "Mira", "age": 30, "active": True}, {"name": "Tarek", "age": 25, "active": False}, {"name": "Ines", "age": 35, "active": True}],
     "rates": [{"lo": 0, "hi": 25, "rate": 0.1}, {"lo": 26, "hi": 40, "rate": 0.2}, {"lo": 41, "hi": 60, "rate": 0.3}],
     "ids": [{"id": 100, "name": "A"}, {"id": 200, "name": "B"}, {"id": 300, "name": "C"}],
     "age": 99, "one": [7],
@@ -54,7 +54,7 @@ CASES = [
     ({"DATEDIF": ["2024-01-31", "2024-03-01", "MD"]}, 0), ({"datedif": ["2023-11-05", "2024-02-10", "YM"]}, 3), ({"DATEDIF": ["2023-11-05", "2024-02-10", "D"]}, 97), ({"DATEDIF": ["2024-01-01", "2024-02-01", "Q"]}, None),
     # arrays
     ({"map": [{"var": "numbers"}, {"*": [{"var": ""}, 2]}]}, [2, 4, 6, 8, 10]), ({"map": [{"var": "a"}, 1]}, []), ({"filter": [{"var": "numbers"}, {">": [{"var": ""}, 3]}]}, [4, 5]),
-    ({"map": [{"filter": [U, {"var": "active"}]}, {"var": "name"}]}, ["Alice", "Charlie"]), ({"map": [{"var": "numbers"}, {"var": "n"}]}, [None] * 5),
+    ({"map": [{"filter": [U, {"var": "active"}]}, {"var": "name"}]}, ["Mira", "Ines"]), ({"map": [{"var": "numbers"}, {"var": "n"}]}, [None] * 5),
     ({"reduce": [{"var": "numbers"}, {"+": [{"var": "current"}, {"var": "accumulator"}]}, 0]}, 15), ({"reduce": [{"var": "gone"}, {"var": "current"}, 7]}, 7),
     ({"all": [{"var": "numbers"}, {">": [{"var": ""}, 0]}]}, True), ({"all": [{"var": "none"}, 1]}, True), ({"all": [{"var": "gone"}, 1]}, False), ({"some": [U, {"==": [{"var": "age"}, 25]}]}, True), ({"none": [{"var": "gone"}, 1]}, True),
     ({"merge": [[1, 2], 3, [4]]}, [1, 2, 3, 4]), ({"in": [3, {"var": "numbers"}]}, True), ({"in": ["3", {"var": "numbers"}]}, True), ({"in": ["bc", "abcd"]}, True), ({"in": [True, [1, 2]]}, True), ({"in": ["z", ["x", "y"]]}, False),
@@ -62,16 +62,15 @@ CASES = [
     ({"FOR": [0, 3, {"*": [{"var": "$loopIteration"}, {"var": "n"}]}]}, [0, 42, 84]), ({"for": [3, 0, 1]}, []), ({"MULTIPLIES": [{"var": "numbers"}, 2]}, 240), ({"MULTIPLIES": [[]]}, None),
     ({"MULTIPLIES": [{"FOR": [1, 4, {"var": "$loopIteration"}]}]}, 6), ({"DIVIDES": [100, 0, 5]}, 20),
     # tables
-    ({"VALUEAT": [U, 1, "name"]}, "Bob"), ({"valueat": [U, 1]}, {"name": "Bob", "age": 25, "active": False}), ({"VALUEAT": [U, 9, "name"]}, None), ({"VALUEAT": [U, -1, "name"]}, None), ({"VALUEAT": [{"var": "gone"}, 0]}, None),
+    ({"VALUEAT": [U, 1, "name"]}, "Tarek"), ({"valueat": [U, 1]}, {"name": "Tarek", "age": 25, "active": False}), ({"VALUEAT": [U, 9, "name"]}, None), ({"VALUEAT": [U, -1, "name"]}, None), ({"VALUEAT": [{"var": "gone"}, 0]}, None),
     ({"MAXAT": [U, "age"]}, 35), ({"INDEXAT": [200, {"var": "ids"}, "id"]}, 1), ({"INDEXAT": [250, {"var": "ids"}, "id", True]}, 0), ({"INDEXAT": [50, {"var": "ids"}, "id", True]}, -1), ({"INDEXAT": ["200", {"var": "ids"}, "id"]}, 1),
-    ({"MATCH": [U, "Bob", "name", 25, "age"]}, 1), ({"MATCH": [U, "Bob", "name", 30, "age"]}, -1), ({"MATCHRANGE": [{"var": "rates"}, "lo", "hi", 30]}, 1), ({"MATCHRANGE": [{"var": "rates"}, "lo", "hi", 90]}, -1),
-    ({"CHOOSE": [U, "Zed", "name", 35, "age"]}, 2), ({"FINDINDEX": [U, ["==", "Charlie", "name"]]}, 2), ({"FINDINDEX": [U, ["&&", "active", [">", 30, "age"]]]}, 2), ({"FINDINDEX": [U, {">": [{"var": "age"}, 98]}]}, 0),
-    ({"FINDINDEX": [U, "active"]}, 0), ({"FINDINDEX": [U]}, 0), ({"FINDINDEX": [U, ["||", ["==", "Bob", "name"], ["==", 35, "age"]]]}, None),
+    ({"MATCH": [U, "Tarek", "name", 25, "age"]}, 1), ({"MATCH": [U, "Tarek", "name", 30, "age"]}, -1), ({"MATCHRANGE": [{"var": "rates"}, "lo", "hi", 30]}, 1), ({"MATCHRANGE": [{"var": "rates"}, "lo", "hi", 90]}, -1),
+    ({"CHOOSE": [U, "Zed", "name", 35, "age"]}, 2), ({"FINDINDEX": [U, ["==", "Ines", "name"]]}, 2), ({"FINDINDEX": [U, ["&&", "active", [">", 30, "age"]]]}, 2), ({"FINDINDEX": [U, {">": [{"var": "age"}, 98]}]}, -1),
+    ({"FINDINDEX": [U, "active"]}, 0), ({"FINDINDEX": [U]}, 0), ({"FINDINDEX": [U, ["||", ["==", "Tarek", "name"], ["==", 35, "age"]]]}, 1),
     ({"VALUEAT": [{"var": "rates"}, {"MATCHRANGE": [{"var": "rates"}, "lo", "hi", 50]}, "rate"]}, 0.3), ({"RANGEOPTIONS": [1, 2]}, [{"label": "1", "value": "1"}, {"label": "2", "value": "2"}]), ({"RANGEOPTIONS": [2, 1]}, []),
     ({"MAPOPTIONS": [{"var": "ids"}, "name", "id"]}, [{"label": "A", "value": 100}, {"label": "B", "value": 200}, {"label": "C", "value": 300}]),
     ({"MAPOPTIONSIF": [{"var": "ids"}, "name", "id", 200, "==", "id"]}, [{"label": "B", "value": 200}]), ({"MAPOPTIONSIF": [{"var": "ids"}, "name", "id", [150, "<", "id"]]}, [{"label": "B", "value": 200}, {"label": "C", "value": 300}]),
 ]
-ODD = {"FINDINDEX": {7: -1}}
 
 
 @pytest.fixture(scope="module")
@@ -91,11 +90,6 @@ def results(spark):
 def test_operator(results, i):
     rule, expected = CASES[i]
     got = results[f"r{i}"]
-    if rule == {"FINDINDEX": [U, {">": [{"var": "age"}, 98]}]}:
-        expected = 0  # the row is asked before the document only for names that the context lacks: age 99 is the document's
-        expected = -1
-    if rule == {"FINDINDEX": [U, ["||", ["==", "Bob", "name"], ["==", 35, "age"]]]}:
-        expected = 1
     if isinstance(expected, float):
         assert math.isclose(got, expected, rel_tol=1e-12)
     else:
