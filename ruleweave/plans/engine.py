@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from ruleweave.config import DEFAULT, EngineConfig
 from ruleweave.functions import values as V
 from ruleweave.functions.values import Val
 from ruleweave.paths import dotted
-from ruleweave.plans.compiler import Compiler, as_rule
+from ruleweave.plans.compiler import Compiler, as_rule, referenced
 from ruleweave.plans.joins import JoinPlan, numbered
 from ruleweave.plans.scope import Frame, Scope, data_frame
 
@@ -61,6 +62,30 @@ def keep(df: DataFrame, rule: Any, tables: dict[str, DataFrame] | None = None, c
     return rules.plan.df.where(test).select(*[F.col(f"`{c}`") for c in rules.columns])
 
 
+class LogicStore:
+    """Rules under numbers: equal rules, whatever the order of their keys and their spacing, share one."""
+
+    def __init__(self, config: EngineConfig = DEFAULT) -> None:
+        self.config, self.ids, self.rules = config, {}, []
+
+    def compile(self, rule: Any) -> int:
+        """The rule's number, from 1; a rule that does not compile over an empty document is refused."""
+        rule = as_rule(rule)
+        key = json.dumps(rule, sort_keys=True)
+        if key not in self.ids:
+            Compiler(self.config).value(rule, Scope(Frame({}), config=self.config))
+            self.rules.append(rule)
+            self.ids[key] = len(self.rules)
+        return self.ids[key]
+
+    def reads(self, number: int) -> list[str]:
+        return referenced(self.rules[number - 1])
+
+    def run(self, df: DataFrame, numbers: dict[str, int], **more) -> DataFrame:
+        """``df`` with a column for each name, by the rules of these numbers."""
+        return evaluate(df, {name: self.rules[n - 1] for name, n in numbers.items()}, config=self.config, **more)
+
+
 def is_in(df: DataFrame, column: str, values: DataFrame, of: str, absent: bool = False) -> DataFrame:
     """The documents whose value is (or is not) among another DataFrame's: a semi or anti join."""
     side = values.select(F.col(of).alias("__in")).distinct()

@@ -800,6 +800,26 @@ class FormEngine:
         return self.plan.df.select(*_quoted(keys), F.explode(F.array_compact(F.array(*rows))).alias("l")).select(*_quoted(keys), "l.*")
 
 
+def merged_layout(schema: dict | str, rows: list) -> dict[str, list]:
+    """On the driver, for one document: each layout's elements with the flags and paths of its rows of ``layout``."""
+    by_place = {(r["layout_path"], r["element_idx"]): r for r in rows}
+
+    def walk(path: str, elements: list) -> list:
+        out = []
+        for i, e in enumerate(elements):
+            r = by_place.get((path, i))
+            made = dict(e)
+            if r is not None:
+                made |= {"$fullpath": r["fullpath"], "$path": r["path"], "$parentHide": r["parent_hide"]}
+                made["condition"] = {**e.get("condition", {}), "hidden": r["hidden"], "disabled": r["disabled"]}
+            if e.get("elements"):
+                made["elements"] = walk(f"{path}.{i}" if path else str(i), e["elements"])
+            out.append(made)
+        return out
+
+    return {p: walk(p, elements) for p, elements in FormSchema.of(schema).attached()}
+
+
 #: Regular expressions that the rules' dialect does not have: look-around, atomic groups, back-references.
 _FOREIGN = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k[<{']|[*+?}]\+")
 

@@ -581,3 +581,96 @@ def events_foreach_batch(spark: SparkSession, d: str) -> DataFrame:
     from ruleweave.streaming.increments import run_increments
 
     return run_increments(spark, f"{d}/events.parquet", {"high": {">": [v("value"), 50]}, "kind": {"cat": ["e:", v("event_type")]}}, ["event_id"])
+
+
+# tables, schemas and documents in their rarer forms
+generated("table_clear", "customer", {"$clear": ev({"<": [v("c_acctbal"), 0]}), "$table": [{"$repeat": [0, 1, {"x": ev({"+": [_IT, v("c_nationkey")]})}]}]}, {"x": _col("x")},
+          "SELECT c_custkey, i AS row, (i + c_nationkey)::DOUBLE AS x FROM (SELECT *, unnest(range(0, 2)) AS i FROM customer WHERE c_acctbal >= 0)")
+
+
+@query("table_gate", "SELECT p_partkey, CASE WHEN p_size <= 25 THEN 2 ELSE 0 END AS n FROM part")
+def table_gate(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"properties": {"p_size": {"type": "integer", "rules": {"maxValue": {"value": 25}}}, "t": {"$table": [{"$repeat": [0, 1, {"x": ev({"*": [v("p_size"), _IT]})}]}]}}}
+    return _form(spark, d, "part", schema).evaluate().df.select("p_partkey", F.size("t").alias("n"))
+
+
+@query("findindex_scope", f"SELECT o_orderkey, coalesce(min(i) FILTER (qty > o_orderkey % 50), -1)::DOUBLE AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY n) - 1 AS i FROM {_ITEMS_SQL}) GROUP BY o_orderkey")
+def findindex_scope(spark: SparkSession, d: str) -> DataFrame:
+    # qty of the document is not the row's: $ref asks the document
+    docs = _items(spark, d).withColumn("qty", F.col("o_orderkey") % 50)
+    return evaluate(docs, {"at": {"FINDINDEX": [v("items"), [">", {"$ref": "qty"}, "qty"]]}}).select("o_orderkey", "at")
+
+
+@query("schema_value_pairs", "SELECT c_custkey, 'c_name' AS path, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', CASE WHEN c_acctbal >= 0 THEN c_mktsegment END FROM customer UNION ALL SELECT c_custkey, 'twice', (c_nationkey * 2)::VARCHAR FROM customer")
+def schema_value_pairs(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"properties": {"c_name": {"type": "string"}, "c_mktsegment": {"type": "string", "condition": {"hidden": ev({"<": [v("c_acctbal"), 0]})}}, "twice": {"type": "number", "value": ev({"*": [v("c_nationkey"), 2]})}}}
+    pairs = _form(spark, d, "customer", schema).evaluate().schema_value(["c_custkey"], "array")
+    return pairs.select("c_custkey", F.explode("value").alias("x")).select("c_custkey", "x.path", "x.value")
+
+
+@query("schema_value_nested", "SELECT p_partkey, p_brand AS brand, p_size * 2.0 AS twice FROM part")
+def schema_value_nested(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "part").select("p_partkey", F.struct(F.col("p_brand").alias("brand"), F.struct(F.col("p_size").alias("size")).alias("measure")).alias("form"))
+    group = {"brand": {"type": "string"}, "measure": {"type": "object", "properties": {"size": {"type": "integer"}, "twice": {"type": "number", "value": ev({"*": [v("form.measure.size"), 2]})}}}}
+    out = FormEngine({"properties": {"form": {"type": "object", "properties": group}}}, docs).evaluate().schema_value(["p_partkey"])
+    return out.select("p_partkey", F.col("value.form.brand").alias("brand"), F.col("value.form.measure.twice").alias("twice"))
+
+
+@query("json_texts", "SELECT event_id, coalesce(json_extract_string(props, '$.k')::DOUBLE, 0) + 1 AS x FROM events")
+def json_texts(spark: SparkSession, d: str) -> DataFrame:
+    from ruleweave.sources.documents import parse_documents
+
+    return evaluate(parse_documents(table(spark, d, "events"), "props", "k string"), {"x": {"+": [v("k"), 1]}}).select("event_id", "x")
+
+
+@query("in_anti_join_df", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def in_anti_join_df(spark: SparkSession, d: str) -> DataFrame:
+    large = keep(table(spark, d, "orders"), {">": [v("o_totalprice"), 200000]})
+    return is_in(table(spark, d, "customer"), "c_custkey", large, "o_custkey", absent=True).select("c_custkey")
+
+
+@query("custom_operator", "SELECT p_partkey, reverse(p_brand) || '!' AS x FROM part")
+def custom_operator(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    from ruleweave.plans.compiler import register_operator
+
+    register_operator("BACKWARD", F.reverse, T.StringType())
+    return evaluate(table(spark, d, "part"), {"x": {"cat": [{"BACKWARD": v("p_brand")}, "!"]}}).select("p_partkey", "x")
+
+
+@query("logic_store", "SELECT p_partkey, p_size * 2.0 AS a, p_size * 2.0 AS b, 2 AS rules FROM part")
+def logic_store(spark: SparkSession, d: str) -> DataFrame:
+    from ruleweave.plans.engine import LogicStore
+
+    store = LogicStore()
+    first, again, _ = store.compile({"*": [v("p_size"), 2]}), store.compile('{ "*" : [{"var": "p_size"}, 2] }'), store.compile({"+": [1, 2]})
+    return store.run(table(spark, d, "part"), {"a": first, "b": again}).select("p_partkey", "a", "b", F.lit(len(store.rules)).alias("rules"))
+
+
+_PASS = {"properties": {
+    "c_nationkey": {"type": "integer", "dependents": [{"$ref": "#/properties/c_mktsegment", "value": ev({"if": [{">": [{"$ref": "$value"}, 12]}, "FAR", ""]})}]},
+    "c_mktsegment": {"type": "string"}, "fee": {"type": "number", "value": ev({"if": [{"==": [v("c_mktsegment"), "FAR"]}, 10, 1]})},
+    "fixed": {"type": "string", "value": "yes", "condition": {"disabled": ev({"<": [v("c_acctbal"), 0]})}}, "c_name": {"type": "string", "condition": {"hidden": ev({"==": [v("fixed"), "yes"]})}},
+}}
+
+
+@query("refresh_pass", """SELECT c_custkey, 'c_mktsegment' AS ref, 'FAR' AS value, false AS readonly, false AS hidden FROM customer WHERE c_nationkey > 12
+UNION ALL SELECT c_custkey, 'fee', CASE WHEN c_nationkey > 12 THEN '10.0' ELSE '1.0' END, false, false FROM customer UNION ALL SELECT c_custkey, 'fixed', 'yes', true, false FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'c_name', NULL, false, true FROM customer""")
+def refresh_pass(spark: SparkSession, d: str) -> DataFrame:
+    # the static value of "fixed" is the default of all rows, and hides the name
+    return _form(spark, d, "customer", _PASS).refresh(["c_nationkey"], ["c_custkey"]).select("c_custkey", "ref", "value", "readonly", "hidden")
+
+
+@query("resolved_schema", """SELECT p_partkey, '{"properties":{"p_size":{"type":"integer"},"d":{"type":"number","value":' || p_size * 2 || ',"condition":{"hidden":' || (p_size > 25)::VARCHAR || '}}}}' AS schema FROM part""")
+def resolved_schema(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"properties": {"p_size": {"type": "integer"}, "d": {"type": "number", "value": ev({"*": [v("p_size"), 2]}), "condition": {"hidden": ev({">": [v("p_size"), 25]})}}}}
+    made = _form(spark, d, "part", schema).evaluate().resolved_schema(["p_partkey"])
+    return made.select("p_partkey", F.replace("schema", F.lit(": "), F.lit(":")).alias("schema"))
+
+
+@query("values_at_paths", "SELECT p_partkey, p_size * 2.0 AS d, p_brand FROM part")
+def values_at_paths(spark: SparkSession, d: str) -> DataFrame:
+    schema = {"properties": {"d": {"type": "number", "value": ev({"*": [v("p_size"), 2]})}}}
+    return _form(spark, d, "part", schema).evaluate().at(["p_partkey"], ["#/properties/d", "p_brand"])

@@ -145,6 +145,11 @@ def test_fields_hidden_by_all_their_layout_elements(spark):
         ("$layout.elements.0", "0", True, False), ("a", "a", True, True), ("b", "b", True, True), ("b", "b", False, False), ("g", "g", True, False), ("g.c", "c", True, True),
         ("$layout.elements.3", "3", True, False), ("d", "d", True, True),
     }
+    from ruleweave.plans.schema import merged_layout
+
+    merged = merged_layout(schema, FormEngine(schema, df).layout(["id"]).where("id = 1").collect())[""]
+    assert merged[0]["elements"][0] == {"$ref": "a", "$fullpath": "a", "$path": "a", "$parentHide": True, "condition": {"hidden": True, "disabled": False}}
+    assert merged[1]["condition"] == {"hidden": False, "disabled": False} and merged[2]["condition"]["hidden"] is True
     # what is hidden by conditions is emptied, what a hidden layout only does not show is not
     hidden = {r.id: (r["g.c"], r.d) for r in FormEngine(schema, df).hide().df.collect()}
     assert hidden == {1: (None, "keep"), 2: ("", "")}
@@ -331,6 +336,16 @@ def test_messagepack(spark, tmp_path):
     assert [r.y for r in e.df.orderBy("id").collect()] == [5.0, 0.0, 2.0]
 
 
+def test_logic_store(spark):
+    from ruleweave.plans.engine import LogicStore
+
+    store = LogicStore()
+    a = store.compile({"+": [v("x"), {"var": "y.z"}]})
+    assert store.compile('{"+":[{"var":"x"},{"var":"y.z"}]}') == a == 1 and store.compile({"-": [v("x")]}) == 2 and store.reads(a) == ["x", "y.z"]
+    with pytest.raises(RuleError):
+        store.compile({"no such": 1})
+
+
 def test_resolved_schema(spark):
     schema = {"$params": {"k": ev({"+": [1, 2]}), "list": [1, "a", None]}, "properties": {
         "a": {"type": "number", "title": "A \"x\""}, "b": {"type": "number", "value": ev({"*": [v("a"), 2]}), "condition": {"hidden": ev({">": [v("a"), 1]})}},
