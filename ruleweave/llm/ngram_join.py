@@ -16,9 +16,10 @@ whatever the total order of tokens is. Three orders are used, and a pair must pa
 
 No bucket of a token is expanded into its pairs at once. Each bucket elects one pivot, members are
 verified against the pivot only, links are contracted into components, and this is repeated with
-other pivots. What still crosses components afterwards is compared exactly, so no link that joins two
-components is lost, and a group of copies of any size costs a number of comparisons in proportion
-to its members.
+other pivots. What still crosses components afterwards is compared exactly, with sets of about its size, so no link
+that joins two components is lost, and a group of copies of any size costs a number of comparisons in
+proportion to its members. Sets that share a token early in their orders and are in no component with each other cost a
+comparison of sizes each, in these last buckets only.
 
 Cases: null or empty text: ``n_shingles`` 0, a component of its own. Exact copies and repeated rows
 share one node. Rows that repeat a ``doc_id`` are judged each by its own text. Null ``doc_id`` is
@@ -46,6 +47,8 @@ SHARE = 80
 #: Most rounds with one pivot per bucket before what is left is compared in full, and the share of sets that
 #: a round must link for another one.
 PIVOT_ROUNDS, WORTH = 3, 0.5
+#: Sets are compared in full within bands of sizes by powers of this, which is above 100 / SHARE.
+BAND = 1.3
 #: From this size on a larger partner's prefix never leaves fewer live tokens than the set's own size tells.
 SMALL = 64
 
@@ -398,9 +401,11 @@ def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             pivot = pivot.toDF("token", "node2", "n2", "most2", "comp2")
             pairs = state.join(pivot, "token")
         else:
-            mine = state.join(buckets.select("token"), "token", "left_semi")
-            other = mine.selectExpr("token", "node as node2", "n as n2", "most as most2", "comp as comp2")
-            pairs = mine.join(other, "token").where("node < node2")
+            # sizes of linked sets differ by a quarter at most, so they are in the same band or in neighbouring ones
+            mine = state.join(buckets.select("token"), "token", "left_semi").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))))
+            near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+            other = mine.select("token", near, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("comp").alias("comp2"))
+            pairs = mine.join(other, ["token", "band"]).where("node < node2")
         pairs = pairs.where(f"comp != comp2 and 100 * least(most, most2) >= {SHARE} * (n + n2 - least(most, most2))")
         pairs = pairs.select(F.least("node", "node2").alias("node"), F.greatest("node", "node2").alias("node2")).distinct()
         if seen is not None:

@@ -323,6 +323,26 @@ def test_very_long_texts(spark):
     assert counts["n_words"][0] == len(WORD.findall(long)) and counts["word_chars"][0] == sum(map(len, WORD.findall(long)))
 
 
+def test_joins_of_hot_keys(spark):
+    from ruleweave.llm.shared import HOT, join_rows
+
+    left = spark.range(6000).selectExpr("id", "case when id < 4000 then 7 when id % 11 = 0 then null when id < 4200 then 9 else id end as k")
+    right = spark.range(5000).selectExpr("id as k", "id * 2 as x").where("k != 9")
+    for how in ("inner", "left"):
+        got = Counter(tuple(r) for r in join_rows(left, right, "k", how).select("id", "k", "x").collect())
+        assert got == Counter(tuple(r) for r in left.join(right, "k", how).select("id", "k", "x").collect())
+    assert 4000 > 6000 // HOT and join_rows(left.limit(0), right, "k", "left").count() == 0
+
+
+def test_folders_must_be_named_on_a_cluster(spark, monkeypatch):
+    from ruleweave.llm.shared import shared_dir
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(spark)
+
+
 def test_packing(docs, none, monkeypatch):
     from tokenizers import Tokenizer
 
