@@ -28,6 +28,10 @@ SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 UNSPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+#: Marks that often end a word; each is a piece of its own behind letters.
+MARKS = tuple(".,;:!?")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next
     free one from U+0100 on."""
@@ -66,17 +70,29 @@ class TextEncoder:
         self.spaced = self.tokenizer.normalizer is None
         letters, model = _byte_letters(), self.tokenizer.model
 
+        space = letters[32]
+
         def piece(text: str) -> bytes:
-            return array("I", [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]).tobytes()
+            shown = text.replace(" ", space) if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(shown)]).tobytes()
 
         self.pieces = _Memo(piece, MEMO // 2)
         of_piece = self.pieces.__getitem__
         split = SPACED.findall if self.spaced else UNSPACED.findall
+
+        def chunk(memo: _Memo, text: str, before: str) -> bytes:
+            """A chunk of letters is one piece, with a mark behind it two; others are split."""
+            if text.isalpha():
+                return piece(before + text)
+            if text[-1:] in MARKS and text[:-1].isalpha():
+                return memo[text[:-1]] + of_piece(text[-1])
+            return b"".join(map(of_piece, split(text if text[:1] == "\n" else before + text)))
+
         if self.spaced:
-            self.whole = _Memo(lambda chunk: b"".join(map(of_piece, split(chunk))))
-            self.after = _Memo(lambda chunk: b"".join(map(of_piece, split(chunk if chunk[:1] == "\n" else " " + chunk))))
+            self.whole = _Memo(lambda text: b"".join(map(of_piece, split(text))))
+            self.after = _Memo(lambda text: chunk(self.after, text, " "))
         else:
-            self.whole = _Memo(lambda chunk: b"".join(map(of_piece, split(chunk.lower()))))
+            self.whole = _Memo(lambda text: chunk(self.whole, text.lower(), ""))
 
     def __call__(self, text: str) -> bytes:
         if not text:
