@@ -264,9 +264,12 @@ def comparable(a: Val, b: Val) -> tuple[Column, Column]:
     return to_num(a), to_num(b)
 
 
-def clean_noise(v: Val) -> Val:
-    """Numbers next to 0, or just above an integer, lose the noise of binary fractions."""
+def clean_noise(v: Val, once: bool = False) -> Val:
+    """Numbers next to 0, or just above an integer, lose the noise of binary fractions. once: the number is bound, so
+    that a long formula is not repeated where it cannot be computed beforehand."""
     if v.kind == "num" and isinstance(v.type, (T.DoubleType, T.FloatType)):
+        if once:
+            return num(F.element_at(F.transform(F.array(v.col), lambda x: clean_noise(Val(x, v.type)).col), 1))
         x = v.col
         whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
         return num(F.when(F.abs(x) < 1e-10, F.lit(0.0)).when(F.abs(x - whole) < 1e-10, F.round(x)).otherwise(x))

@@ -280,7 +280,7 @@ class _Tree(Frame):
 
     def find(self, steps: list[str]) -> Val | None:
         for n in range(len(steps), 0, -1):
-            v = self.names.get(".".join(steps[:n]))
+            v = self._named(".".join(steps[:n]))
             if v is not None:
                 from ruleweave.plans.scope import descend
 
@@ -292,12 +292,29 @@ class _Tree(Frame):
             return V.literal(at) if at is not None else None
         if steps:
             head = ".".join(steps) + "."
-            inner = {k[len(head) :]: v for k, v in self.names.items() if k.startswith(head)}
+            inner = {k[len(head) :]: self._named(k) for k in self.names if k.startswith(head)}
             if inner:
                 kind = T.StructType([T.StructField(k, v.type) for k, v in inner.items()])
                 return Val(F.struct(*[v.col.alias(k) for k, v in inner.items()]), kind)
         return None
 
+    def _named(self, name: str) -> Val | None:
+        return self.names.get(name)
+
+
+class _Noted(_Tree):
+    """Notes the columns that are read."""
+
+    def __init__(self, tree: _Tree, read: dict[str, Val]) -> None:
+        super().__init__(tree.names, tree.params)
+        object.__setattr__(self, "read", read)
+
+    def _named(self, name: str) -> Val | None:
+        v = super()._named(name)
+        if v is not None:
+            self.read[name] = v
+        return v
+
 
 def _json(v: Val) -> Column:
     """JSON of a value; whole numbers have no fraction."""
@@ -346,6 +363,7 @@ class FormEngine:
         groups = {p for f in self.schema.fields.values() for p in f.parents}
         missing = {p: F.lit(None).cast(TYPES.get(f.type, T.StringType())) for p, f in self.schema.fields.items() if p not in have and p not in groups and f.type != "array" and "properties" not in f.node}
         self.inputs, self.computed = work.columns, []
+        self.nested = False
         self.tables = {dotted(k): numbered(t) for k, t in (tables or {}).items()}
         self.df = work.withColumns(missing) if missing else work
         self.leaves = [p for p in self.schema.fields if p in self.df.columns]
@@ -366,7 +384,7 @@ class FormEngine:
         made = {}
         for name, rule in rules.items():
             v = rule.value(self.compiler, scope, self._gate(rule, scope)) if isinstance(rule, GeneratedTable) else self.compiler.value(rule, scope)
-            made[name] = (V.clean_noise(v) if clean else v).col
+            made[name] = (V.clean_noise(v, once=self.nested) if clean else v).col
         self.df = self.plan.df.withColumns(made).drop(*self.plan.added)
 
     def _gate(self, table: GeneratedTable, scope: Scope) -> Column | None:
@@ -703,7 +721,26 @@ class FormEngine:
         sub = self.schema.subforms[path]
         root = next(iter(sub.root["properties"]))
         rules, kind = {k: r for k, r in sub.rules().items() if k.startswith(root + ".")}, self.df.schema[path].dataType
-        scope, col = self.scope(), F.col(f"`{path}`")
+        read: dict[str, Val] = {}
+        scope = self.scope()
+        self._items_made(sub, root, rules, scope.within(_Noted(scope.data, read)), F.col(f"`{path}`"), kind)
+        scope = self.scope()
+        if read:
+            # what items read of the document is bound once: its own formula would else be put into each item's
+            held = F.array(F.struct(*[v.col.alias(f"v{i}") for i, v in enumerate(read.values())]))
+
+            def bound(p: Column) -> Column:
+                names = {n: Val(p.getField(f"v{i}"), v.type, nullable=v.nullable) for i, (n, v) in enumerate(read.items())}
+                return self._items_made(sub, root, rules, scope.within(_Tree({**scope.data.names, **names}, self.schema.params)), F.col(f"`{path}`"), kind)
+
+            col = F.element_at(F.transform(held, bound), 1)
+        else:
+            col = self._items_made(sub, root, rules, scope, F.col(f"`{path}`"), kind)
+        self.df = self.plan.df.withColumn(path, col)
+        return self
+
+    def _items_made(self, sub: FormSchema, root: str, rules: dict[str, Any], scope: Scope, col: Column, kind: T.ArrayType) -> Column:
+        """The array with the computed fields of its items, batch by batch."""
         for batch in sub.batches():
             names = [n for n in batch if n in rules]
             if not names:
@@ -712,7 +749,7 @@ class FormEngine:
             def made(item: Column, own: T.DataType, names=names) -> dict[str, Val]:
                 inner = scope.with_context(Frame({root: Val(item, own)}), *scope.context)
                 tables = {n: sub.tables[n].value(self.compiler, inner) if n in sub.tables else self.compiler.value(rules[n], inner) for n in names}
-                return {n.removeprefix(root + "."): V.clean_noise(v) for n, v in tables.items()}
+                return {n.removeprefix(root + "."): V.clean_noise(v, once=True) for n, v in tables.items()}
 
             types = {n: T.StringType() if v.kind == "null" else v.type for n, v in made(F.lit(None).cast(kind.elementType), kind.elementType).items()}
             own = kind.elementType
@@ -722,11 +759,11 @@ class FormEngine:
 
             col = F.transform(col, lambda x: step(x))
             kind = T.ArrayType(_set(F.lit(None), own, {n: (F.lit(None), t) for n, t in types.items()})[1])
-        self.df = self.plan.df.withColumn(path, col)
-        return self
+        return col
 
     def cascade(self) -> FormEngine:
         """Computed fields of the document, of its items, and again of both, for fields that read each other."""
+        self.nested = True
         for _ in range(2):
             self.evaluate()
             for path in self.schema.subforms:

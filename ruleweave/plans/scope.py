@@ -96,3 +96,7 @@ class Scope:
 
     def with_context(self, *frames: Frame) -> Scope:
         return Scope(self.data, tuple(frames), self.config, self.tables, self.plan)
+
+    def within(self, data: Frame) -> Scope:
+        """The same place over other data."""
+        return Scope(data, self.context, self.config, self.tables, self.plan)

@@ -530,7 +530,9 @@ def subform_dependents(spark: SparkSession, d: str) -> DataFrame:
 @query("subform_cascade", f"SELECT o_orderkey, n::BIGINT AS n, qty * 2 - max(qty * 2) OVER (PARTITION BY o_orderkey) AS share FROM {_ITEMS_SQL}")
 def subform_cascade(spark: SparkSession, d: str) -> DataFrame:
     e = FormEngine(_RIDERS, _items(spark, d)).cascade()
-    return e.df.select("o_orderkey", F.explode("items").alias("i")).select("o_orderkey", F.col("i.n").cast("long").alias("n"), F.col("i.share").alias("share"))
+    # explode would put a filter on its array, and so its formulas again, below the computed columns
+    rows = e.df.select("o_orderkey", F.explode_outer("items").alias("i")).where("i is not null")
+    return rows.select("o_orderkey", F.col("i.n").cast("long").alias("n"), F.col("i.share").alias("share"))
 
 
 @query("subform_rollup", f"SELECT o_orderkey, count(*)::DOUBLE AS n, max(price / qty) AS most FROM {_ITEMS_SQL} GROUP BY o_orderkey")

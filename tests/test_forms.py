@@ -374,3 +374,16 @@ def test_custom_operator(spark):
         assert run_json(spark, {"shout": [v("s")]}, {"s": "hi"}) == "HI"
     finally:
         del OPERATORS["shout"]
+
+
+def test_cascade_formulas_once(spark):
+    """What items read of the document is computed once a row; formulas do not multiply as they are nested."""
+    v = lambda p: {"var": p}
+    ev = lambda r: {"$evaluation": r}
+    fields = {"cost": {"type": "number", "value": ev({"*": [v("lines.qty"), 2]})}, "share": {"type": "number", "value": ev({"-": [v("lines.cost"), v("form.top")]})}}
+    top = {"type": "number", "value": ev({"reduce": [v("lines"), {"max": [v("accumulator"), {"ifnull": [v("current.cost"), 0]}]}, 0]})}
+    schema = {"properties": {"form": {"type": "object", "properties": {"top": top}}, "lines": {"type": "array", "items": {"type": "object", "properties": {"qty": {"type": "number"}} | fields}}}}
+    df = spark.createDataFrame([(1, [(3.0,), (5.0,)]), (2, []), (3, None)], "id int, lines array<struct<qty: double>>")
+    out = FormEngine(schema, df).cascade().df.select("id", "lines")
+    assert {r.id: None if r.lines is None else [(x.cost, x.share) for x in r.lines] for r in out.collect()} == {1: [(6.0, -4.0), (10.0, 0.0)], 2: [], 3: None}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
