@@ -173,14 +173,19 @@ class JoinPlan:
 
     def _between(self, name: str, ranges: list[tuple[str, str, Val]]) -> Column:
         """First row of a large table whose ranges hold the values."""
-        values = {f"x{i}": x for i, (_, _, x) in enumerate(ranges)}
-        number = lambda r, c: V.to_num(Val(r[c], self._row(name)[c].dataType)) if c in self._row(name).names else F.lit(0.0)
-
-        def test(r: Column, p: dict[str, Val]) -> Column:
-            return reduce(lambda x, y: x & y, [V.to_num(p[f"x{i}"]).between(number(r, lo), number(r, hi)) for i, (lo, hi, _) in enumerate(ranges)])
-
-        lo, hi, _ = ranges[0]
-        return self._first(name, values, test, span=lambda r, p: (number(r, lo), number(r, hi), V.to_num(p["x0"])))
+        from ruleweave.operators.boxes import first_boxes
+
+        at, n = self._column("first"), len(ranges)
+        cell = lambda c: V.to_num(self._cell(name, c) or Val(F.lit(0.0), T.DoubleType())).cast("double")
+        own = [f"{at}x{i}" for i in range(n)]
+        base = self.df.withColumns({c: V.to_num(x).cast("double") for c, (_, _, x) in zip(own, ranges, strict=True)})
+        points = base.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(own)]).dropna().distinct()
+        sides = [c.alias(f"{k}{i}") for i, (lo, hi, _) in enumerate(ranges) for k, c in (("lo", cell(lo)), ("hi", cell(hi)))]
+        hits = first_boxes(points, self.tables[name].select(F.col(INDEX).cast("long").alias("i"), *sides).dropna(), n)
+        hits = hits.withColumnsRenamed({f"x{i}": f"{at}v{i}" for i in range(n)} | {"at": at})
+        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{at}v{i}") for i, c in enumerate(own)])
+        self.df = base.join(hits, same, "left").drop(*own, *[f"{at}v{i}" for i in range(n)])
+        return F.coalesce(F.col(at).cast("double"), F.lit(-1.0))
 
     def _first(self, name: str, values: dict[str, Val], test, keys=None, span=None) -> Column:
         """First row that passes a test with values of the document. Rows and distinct values meet by equal keys, or

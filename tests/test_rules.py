@@ -133,3 +133,32 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "Or(IsNull(q),LessThan(q,24.0))" in plan and "GreaterThanOrEqual(k,3)" in plan
     assert "wide" not in plan.split("ReadSchema")[1]
     assert kept.count() == sum(1 for i in range(24) if i % 7 >= 3)
+
+
+def test_boxes_against_pairs(spark, monkeypatch):
+    """First boxes that hold points: each point compared with each box; narrow, wide, empty and odd boxes, full cells in parts."""
+    import numpy as np
+    from ruleweave.operators import boxes as B
+
+    monkeypatch.setattr(B, "CELL_POINTS", 40)
+    rng = np.random.default_rng(5)
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0]
+    for dims in (1, 2, 3):
+        x = np.unique(np.concatenate([rng.integers(0, 600, (900, dims)) / 20, rng.choice([*odd, 7.0], (30, dims))]), axis=0)
+        lo = np.concatenate([rng.integers(-50, 600, (7000, dims)) / 20, rng.choice(odd, (50, dims))])
+        hi = np.concatenate([lo[:7000] + rng.choice([-0.5, 0.0, 0.5, 4.0, 30.0], (7000, dims), p=[0.1, 0.5, 0.3, 0.08, 0.02]), rng.choice(odd, (50, dims))])
+        i = rng.permutation(len(lo))
+        le = lambda a, b: (a <= b) | np.isnan(b)  # noqa: E731  NaN is above all others
+        expected = {}
+        for p in x:
+            held = i[(le(lo, p) & le(p, hi)).all(axis=1)]
+            if len(held):
+                expected[tuple(map(repr, p + 0.0))] = held.min()
+        points = spark.createDataFrame(x.tolist(), ", ".join(f"x{d} double" for d in range(dims))).distinct()
+        names = "i long, " + ", ".join(f"lo{d} double, hi{d} double" for d in range(dims))
+        rows = [(int(k), *[float(v) for pair in zip(a, b, strict=True) for v in pair]) for k, a, b in zip(i, lo, hi, strict=True)]
+        out = B.first_boxes(points, spark.createDataFrame(rows, names), dims).collect()
+        assert {tuple(repr(np.float64(v) + 0.0) for v in r[:dims]): r["at"] for r in out} == expected
+        assert len(out) == len(expected) > 100
+
+
