@@ -42,18 +42,18 @@ _CELL = "named_struct('n', {n}, 'k', {k}, 'h', {h})"
 _EMPTY = _CELL.format(n="0", k="0L", h="0L")
 
 
-def _column(digest: str, row: int, c: str) -> str:
-    return f"(shiftrightunsigned({digest}, {SHIFTS[row]}) & ({c} - 1))"
+def _column(digest: str, row: int, mask: str) -> str:
+    return f"(shiftrightunsigned({digest}, {SHIFTS[row]}) & {mask})"
 
 
 def pieces_sql(text: str) -> str:
     return rf"array_distinct(transform(regexp_extract_all({text}, '(?:[^ \\n]{{1,{WORD_CHARS}}}+ *+){{1,{PIECE_WORDS}}}+', 0), t -> xxhash64(t)))"
 
 
-def cells_sql(digests: str, c: str) -> str:
-    """The sketch of an array of digests: the cells of the first row, the second, the third."""
+def cells_sql(digests: str, mask: str) -> str:
+    """The sketch of an array of digests: the cells of the first row, the second, the third. mask: columns less one."""
     entered = _CELL.format(n="a.n + 1", k="a.k ^ d", h="a.h ^ xxhash64(d)")
-    rows = [f"transform(sequence(0, {c} - 1), j -> aggregate({digests}, {_EMPTY}, (a, d) -> if({_column('d', r, c)} = j, {entered}, a)))" for r in range(ROWS)]
+    rows = [f"transform(sequence(0, {mask}), j -> aggregate({digests}, {_EMPTY}, (a, d) -> if({_column('d', r, mask)} = j, {entered}, a)))" for r in range(ROWS)]
     return f"concat({', '.join(rows)})"
 
 
@@ -61,10 +61,10 @@ def subtract_sql(x: str, y: str) -> str:
     return f"zip_with({x}, {y}, (p, q) -> {_CELL.format(n='p.n - q.n', k='p.k ^ q.k', h='p.h ^ q.h')})"
 
 
-def peel_sql(cells: str, c: str, most: str) -> str:
+def peel_sql(cells: str, mask: str, most: str) -> str:
     """(ok, found): whether the sketch could be emptied, and the digests with their sign; at most ``most`` of them."""
     pure = "get(filter(s.t, x -> abs(x.n) = 1 and x.h = xxhash64(x.k)), 0)"
-    places = ", ".join(f"'i{r}', {r} * {c} + {_column('p.k', r, c)}" for r in range(ROWS))
+    places = ", ".join(f"'i{r}', {r} * ({mask} + 1) + {_column('p.k', r, mask)}" for r in range(ROWS))
     held = f"named_struct('k', p.k, 'n', p.n, 'h', p.h, {places})"
     here = " or ".join(f"i = q.i{r}" for r in range(ROWS))
     without = f"transform(s.t, (x, i) -> if({here}, {_CELL.format(n='x.n - q.n', k='x.k ^ q.k', h='x.h ^ q.h')}, x))"
@@ -85,12 +85,17 @@ def differences_sql(a: str, b: str, base_a: str, base_b: str) -> str:
     larger = peel_sql(subtract_sql(cells_sql("w.x", "c"), cells_sql("w.y", "c")), "c", "size(w.x) + size(w.y)")
     only = "transform(array_except({0}, {1}), t -> named_struct('k', t, 'n', {2}))"
     failed = f"concat({only.format('w.x', 'w.y', 1)}, {only.format('w.y', 'w.x', -1)})"
-    tries = f"aggregate(array({', '.join(map(str, SIZES))}), cast(null as {result}), (r, c) -> if(coalesce(r.ok, false), r, {larger}), r -> if(r.ok, r.found, {failed}))"
-    mine = "named_struct('x', filter({a}, t -> t & (m - 1) = g), 'y', filter({b}, t -> t & (m - 1) = g))".format(a=a, b=b)
-    group = f"element_at(transform(array({mine}), w -> {tries}), 1)"
-    parts = f"cast(pow(2, ceil(log2(greatest(1.0, (size({a}) + size({b})) / {LOAD}.0)))) as bigint)"
-    whole = f"element_at(transform(array({parts}), m -> flatten(transform(sequence(0L, m - 1), g -> {group}))), 1)"
-    first = peel_sql(subtract_sql(base_a, base_b), str(BASE), f"{ROWS * BASE}")
+    tries = f"aggregate(array({', '.join(str(c - 1) for c in SIZES)}), cast(null as {result}), (r, c) -> if(coalesce(r.ok, false), r, {larger}), r -> if(r.ok, r.found, {failed}))"
+    # dealt twice, first by some of the bits and then by the others, so that no digest is looked at for each sub-sketch
+    dealt = "transform(sequence(0L, {mask}), g -> named_struct('x', filter({x}, t -> {bits} & {mask} = g), 'y', filter({y}, t -> {bits} & {mask} = g)))"
+    inner = dealt.format(x="u.x", y="u.y", bits="shiftrightunsigned(t, p.b)", mask="p.fine")
+    outer = dealt.format(x=a, y=b, bits="t", mask="p.coarse")
+    bits = f"cast(ceil(log2(greatest(1.0, (size({a}) + size({b})) / {LOAD}D))) as int)"
+    masks = "named_struct('b', n div 2, 'coarse', shiftleft(1L, n div 2) - 1, 'fine', shiftleft(1L, n - n div 2) - 1)"
+    masks = masks.replace("n div 2", "cast(n div 2 as int)")
+    parts = f"transform(array({bits}), n -> {masks})"
+    whole = f"element_at(transform({parts}, p -> flatten(transform({outer}, u -> flatten(transform({inner}, w -> {tries}))))), 1)"
+    first = peel_sql(subtract_sql(base_a, base_b), str(BASE - 1), f"{ROWS * BASE}")
     return f"element_at(transform(array({first}), f -> if(f.ok, f.found, {whole})), 1)"
 
 
@@ -144,7 +149,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "sha2(edited, 256) as edited_sha256", "text", "edited",
         f"{pieces_sql('text')} as a", f"{pieces_sql('edited')} as e", f"{pieces_sql('next_text')} as b",
     )
-    rows = rows.selectExpr("*", *(f"{cells_sql(x, str(BASE))} as c{x}" for x in "aeb"))
+    rows = rows.selectExpr("*", *(f"{cells_sql(x, str(BASE - 1))} as c{x}" for x in "aeb"))
     rows = rows.selectExpr(
         "doc_id", "n_chars", "edited_sha256", "a", "e", "b",
         f"{fingerprint_sql('ca', 'text')} as fingerprint", f"{fingerprint_sql('ce', 'edited')} as edited_fingerprint",

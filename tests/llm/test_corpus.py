@@ -779,3 +779,14 @@ def test_mixing(spark, docs, none):
     copies = again.groupBy("doc_id", "text").agg(F.collect_set("mix_copy").alias("k"), F.first("mix_count").alias("n")).collect()
     assert all(sorted(r.k) == list(range(r.n)) for r in copies)
     assert replicate(none).count() == 0
+
+
+def test_differences_of_long_texts_dealt_in_steps(spark):
+    """Digests are not looked at once for each sub-sketch: the plan deals them by two masks; all that differ are found."""
+    from ruleweave.llm import fingerprints as P
+
+    sql = P.differences_sql("a", "b", P.cells_sql("a", "7"), P.cells_sql("b", "7"))
+    assert "p.coarse" in sql and "p.fine" in sql
+    rows = spark.range(1).selectExpr("transform(sequence(1, 900), i -> xxhash64(i)) as a", "transform(sequence(300, 1300), i -> xxhash64(i)) as b")
+    found = rows.selectExpr(f"{sql} as d").selectExpr("size(d) as n", "size(filter(d, t -> t.n = 1)) as a", "size(array_distinct(d)) as u").first()
+    assert tuple(found) == (299 + 400, 299, 699)
