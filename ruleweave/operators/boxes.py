@@ -3,7 +3,8 @@
 Points are dealt to the cells of a grid over their first two dimensions. A box goes to the cells it meets, except those
 that a box of a lower index is known to fill. Within a cell boxes come by index, and a tree over the points that no
 earlier box holds takes them: a node that a box fills is not entered further, so pairs of boxes and points are compared in
-the tree's leaves only.
+the tree's leaves only. Where boxes are many, those of the lowest indices come by themselves first: what points they leave
+is known by cells and by narrow strips of each dimension, and a later box that can hold none of these is not dealt at all.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 BINS_OF_ONE, BINS_OF_TWO = 256, 32
 #: Points of a cell that one task takes, points of a leaf, boxes taken at once, pairs of boxes and cells looked at at once.
 CELL_POINTS, LEAF_POINTS, CHUNK, PAIRS = 200_000, 8, 1 << 14, 1 << 20
+#: From so many boxes on, this share of them comes first; strips of a dimension.
+MANY_BOXES, EARLY_SHARE, STRIPS = 500_000, 1 / 64, 4096
 NONE, LOWEST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
@@ -107,6 +110,52 @@ def _counts(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
+class Strips:
+    """Strips of the first dimensions with the spans of the points in each that no early box holds."""
+
+    def __init__(self, cuts: list[np.ndarray], dims: int) -> None:
+        self.cuts = cuts
+        self.low = [np.full((dims, len(c) + 1), NONE) for c in cuts]
+        self.high = [np.full((dims, len(c) + 1), LOWEST) for c in cuts]
+
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each dimension, the spans of 1, 2, 4 ... strips from each strip on."""
+        out = []
+        for spans in zip(self.low, self.high, strict=True):
+            both = []
+            for least, x in zip((np.minimum, np.maximum), spans, strict=True):
+                levels = [x]
+                while (k := 1 << len(levels)) <= x.shape[1]:
+                    last, k = levels[-1].copy(), k // 2
+                    last[:, :-k] = least(last[:, :-k], last[:, k:])
+                    levels.append(last)
+                both.append(np.array(levels))
+            out.append((both[0], both[1]))
+        return out
+
+    def some(self, tables: list[tuple[np.ndarray, np.ndarray]], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The boxes that may hold a point: places in ascending order."""
+        left = np.arange(lo.shape[1])
+        for d, (lows, highs) in enumerate(tables):
+            a, b = np.searchsorted(self.cuts[d], lo[d, left]), np.searchsorted(self.cuts[d], hi[d, left])
+            level = np.frexp(b - a + 1)[1] - 1
+            b -= (1 << level) - 1
+            meets = np.ones(len(left), bool)
+            for e in range(len(lo)):
+                meets &= np.minimum(lows[level, e, a], lows[level, e, b]) <= hi[e, left]
+                meets &= np.maximum(highs[level, e, a], highs[level, e, b]) >= lo[e, left]
+            left = left[meets]
+        return left
+
+
+def _finer(cuts: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Cuts into STRIPS or so, evenly between the given ones."""
+    edges = np.array([low, *cuts, high], float)
+    with np.errstate(invalid="ignore"):
+        fine = np.interp(np.linspace(0, len(edges) - 1, STRIPS + 1), np.arange(len(edges)), edges)
+    return np.unique(ordered(fine[np.isfinite(fine)]))
+
+
 class Grid:
     """The cells that hold points: place on the grid, spans of their points, number of parts. cuts: of the first dimensions."""
 
@@ -127,6 +176,12 @@ class Grid:
             for d in range(dims):
                 self.low[d, r["cell"]], self.high[d, r["cell"]] = ordered(np.array([r[f"a{d}"], r[f"b{d}"]]))
 
+    def narrowed(self, low: np.ndarray, high: np.ndarray) -> Grid:
+        """The same cells with other spans."""
+        out = Grid(self.cuts)
+        out.parts, out.low, out.high = self.parts, low, high
+        return out
+
     def meet(self, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(boxes, cells) that meet, but for cells that a box of lower index fills; known: least index that fills each."""
         first = [np.searchsorted(c, lo[d]) for d, c in enumerate(self.cuts)]
@@ -163,14 +218,23 @@ def _keys(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return ordered(_columns(batch, names))
 
 
-def first_boxes(points: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
+def _spans(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of points, and the least and greatest of the points of each."""
+    order = np.argsort(keys, kind="stable")
+    own, starts = np.unique(keys[order], return_index=True)
+    return own, np.minimum.reduceat(x[:, order], starts, axis=1), np.maximum.reduceat(x[:, order], starts, axis=1)
+
+
+def first_boxes(points: DataFrame, boxes: DataFrame, dims: int, many: bool = True) -> DataFrame:
     """The points (x0, x1 ...: doubles, distinct) that a box holds, with ``at``: the least ``i`` of a box (i; lo0, hi0, lo1,
-    hi1 ...) that does."""
+    hi1 ...) that does. many: whether there may be MANY_BOXES."""
     xs, los, his = ([f"{k}{d}" for d in range(dims)] for k in ("x", "lo", "hi"))
     bins = BINS_OF_ONE if dims == 1 else BINS_OF_TWO
     shares = [k / bins for k in range(1, bins)]
-    cuts = points.agg(*[F.percentile_approx(x, shares, 100 * bins).alias(x) for x in xs[:2]]).first()
-    grid = Grid([np.unique(ordered(np.array(c or [], float))) for c in cuts])
+    kind = ", ".join(f"{c} double" for c in xs)
+    ends = ", ".join(f"{lo} double, {hi} double" for lo, hi in zip(los, his, strict=True))
+    order = [c for pair in zip(los, his, strict=True) for c in pair]
+    spans = [f(x).alias(f"{k}{d}") for d, x in enumerate(xs) for k, f in (("a", F.min), ("b", F.max))]
 
     def placed(batches):
         for b in batches:
@@ -178,36 +242,23 @@ def first_boxes(points: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
                 x = _keys(b, xs)
                 yield pa.RecordBatch.from_arrays([pa.array(grid.places(list(x))), *[b.column(c) for c in xs]], names=["cell", *xs])
 
-    kind = ", ".join(f"{c} double" for c in xs)
-    points = points.mapInArrow(placed, f"cell long, {kind}")
-    spans = [f(x).alias(f"{k}{d}") for d, x in enumerate(xs) for k, f in (("a", F.min), ("b", F.max))]
-    grid.of(points.groupBy("cell").agg(F.count("*").alias("n"), *spans).collect(), dims)
-
-    ends = ", ".join(f"{lo} double, {hi} double" for lo, hi in zip(los, his, strict=True))
-    order = [c for pair in zip(los, his, strict=True) for c in pair]
-
     def dealt(batches):
-        known = np.full(len(grid.parts), NONE)
+        known, tables = np.full(len(grid.parts), NONE), strips.tables() if later else None
         for b in batches:
             lo, hi, index = _keys(b, los), _keys(b, his), b.column("i").to_numpy()
-            some = np.logical_and.reduce(lo <= hi)
-            lo, hi, index = lo[:, some], hi[:, some], index[some]
-            for box, (cell, part) in grid.meet(lo, hi, index, known):
-                if len(box):
-                    sides = [pa.array(doubles(s[d][box])) for d in range(dims) for s in (lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part), pa.array(index[box]), *sides], names=["cell", "part", "i", *order])
-
-    boxes = boxes.mapInArrow(dealt, f"cell long, part long, i long, {ends}")
-    parts = {int(c): int(grid.parts[c]) for c in np.flatnonzero(grid.parts > 1)}
-    part = F.lit(0).cast("long")
-    if parts:
-        many = F.create_map(*[F.lit(v).cast("long") for kv in parts.items() for v in kv])
-        part = F.pmod(F.xxhash64(*xs), F.coalesce(F.try_element_at(many, F.col("cell")), F.lit(1).cast("long")))
-    sides = [F.col(x).alias(s) for x, lo, hi in zip(xs, los, his, strict=True) for s in (lo, hi)]
-    points = points.select("cell", part.alias("part"), F.lit(None).cast("long").alias("i"), *sides)
-
-    def found(batches):
-        """Rows by cell and part: points first, then boxes by index."""
+            rounds = [(grid, np.arange(len(index)))]
+            if later:
+                late = np.flatnonzero(index > bound)
+                rounds = [(grid, np.flatnonzero(index <= bound)), (later, late[strips.some(tables, lo[:, late], hi[:, late])])]
+            for cells, own in rounds:
+                l, h, i = lo[:, own], hi[:, own], index[own]
+                for box, (cell, part) in cells.meet(l, h, i, known):
+                    if len(box):
+                        sides = [pa.array(doubles(s[d][box])) for d in range(dims) for s in (l, h)]
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part), pa.array(i[box]), *sides], names=["cell", "part", "i", *order])
+
+    def found(batches, rest=False):
+        """Rows by cell and part: points first, then boxes by index. rest: gives spans of the points that no box holds."""
         now, waiting, boxes, tree, size = None, [], [], None, 256
 
         def flush():
@@ -219,9 +270,17 @@ def first_boxes(points: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
 
         def result():
             flush()
+            if rest:
+                x = tree.x[:, tree.first == NONE] if tree else np.concatenate([np.zeros((dims, 0), np.int64), *waiting], axis=1)
+                kinds = [np.full(x.shape[1], now[0]), *[np.searchsorted(c, v) for c, v in zip(strips.cuts, x, strict=False)]]
+                for k, keys in enumerate(kinds if x.shape[1] else []):
+                    place, low, high = _spans(keys, x)
+                    sides = [pa.array(s[d]) for d in range(dims) for s in (low, high)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k)), pa.array(place), *sides], names=["kind", "place", *order])
+                return
             x, first = (tree.x, tree.first) if tree else (np.zeros((dims, 0), np.int64), np.zeros(0, np.int64))
             some = first != NONE
-            return pa.RecordBatch.from_arrays([*[pa.array(doubles(v[some])) for v in x], pa.array(first[some])], names=[*xs, "at"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(doubles(v[some])) for v in x], pa.array(first[some])], names=[*xs, "at"])
 
         for b in batches:
             if not b.num_rows:
@@ -234,7 +293,7 @@ def first_boxes(points: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
             for end in ends:
                 if (key := tuple(keys[:, start])) != now:
                     if now is not None:
-                        yield result()
+                        yield from result()
                     now, waiting, boxes, tree, size = key, [], [], None, 256
                 split = start + int(is_point[start:end].sum())
                 if split > start:
@@ -250,7 +309,37 @@ def first_boxes(points: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
                         size = min(2 * size, CHUNK)
                 start = end
         if now is not None:
-            yield result()
-
-    both = points.unionByName(boxes).repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("i").asc_nulls_first())
-    return both.mapInArrow(found, f"{kind}, at long")
+            yield from result()
+
+    def together(points: DataFrame, boxes: DataFrame) -> DataFrame:
+        parts = {int(c): int(grid.parts[c]) for c in np.flatnonzero(grid.parts > 1)}
+        part = F.lit(0).cast("long")
+        if parts:
+            copies = F.create_map(*[F.lit(v).cast("long") for kv in parts.items() for v in kv])
+            part = F.pmod(F.xxhash64(*xs), F.coalesce(F.try_element_at(copies, F.col("cell")), F.lit(1).cast("long")))
+        sides = [F.col(x).alias(s) for x, lo, hi in zip(xs, los, his, strict=True) for s in (lo, hi)]
+        points = points.mapInArrow(placed, f"cell long, {kind}").select("cell", part.alias("part"), F.lit(None).cast("long").alias("i"), *sides)
+        both = points.unionByName(boxes.mapInArrow(dealt, f"cell long, part long, i long, {ends}"))
+        return both.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("i").asc_nulls_first())
+
+    strips = later = bound = None
+    whole = points.agg(*[F.percentile_approx(x, shares, 100 * bins).alias(x) for x in xs[:2]], *spans).first()
+    cuts = [np.array(c or [], float) for c in whole[: len(xs[:2])]]
+    grid = Grid([np.unique(ordered(c)) for c in cuts])
+    for d, (lo, hi) in enumerate(zip(los, his, strict=True)):
+        boxes = boxes.where(F.col(lo) <= F.col(hi))
+        if whole["a0"] is not None:
+            boxes = boxes.where((F.col(lo) <= whole[f"b{d}"]) & (F.col(hi) >= whole[f"a{d}"]))
+    grid.of(points.mapInArrow(placed, f"cell long, {kind}").groupBy("cell").agg(F.count("*").alias("n"), *spans).collect(), dims)
+    if many:
+        n, first = boxes.agg(F.count("*"), F.percentile_approx("i", EARLY_SHARE)).first()
+        if n >= max(1, MANY_BOXES):
+            strips = Strips([_finer(c, whole[f"a{d}"], whole[f"b{d}"]) for d, c in enumerate(cuts)], dims)
+            rest = together(points, boxes.where(F.col("i") <= first)).mapInArrow(lambda b: found(b, True), "kind long, place long, " + ends.replace("double", "long"))
+            rest = rest.groupBy("kind", "place").agg(*[f(c).alias(c) for lo, hi in zip(los, his, strict=True) for f, c in ((F.min, lo), (F.max, hi))]).collect()
+            low, high = np.full_like(grid.low, NONE), np.full_like(grid.high, LOWEST)
+            for r in rest:
+                a, b = (low, high) if not r["kind"] else (strips.low[r["kind"] - 1], strips.high[r["kind"] - 1])
+                a[:, r["place"]], b[:, r["place"]] = [r[c] for c in los], [r[c] for c in his]
+            bound, later = first, grid.narrowed(low, high)
+    return together(points, boxes).mapInArrow(found, f"{kind}, at long")

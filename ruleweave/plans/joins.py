@@ -173,7 +173,7 @@ class JoinPlan:
 
     def _between(self, name: str, ranges: list[tuple[str, str, Val]]) -> Column:
         """First row of a large table whose ranges hold the values."""
-        from ruleweave.operators.boxes import first_boxes
+        from ruleweave.operators import boxes
 
         at, n = self._column("first"), len(ranges)
         cell = lambda c: V.to_num(self._cell(name, c) or Val(F.lit(0.0), T.DoubleType())).cast("double")
@@ -181,7 +181,8 @@ class JoinPlan:
         base = self.df.withColumns({c: V.to_num(x).cast("double") for c, (_, _, x) in zip(own, ranges, strict=True)})
         points = base.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(own)]).dropna().distinct()
         sides = [c.alias(f"{k}{i}") for i, (lo, hi, _) in enumerate(ranges) for k, c in (("lo", cell(lo)), ("hi", cell(hi)))]
-        hits = first_boxes(points, self.tables[name].select(F.col(INDEX).cast("long").alias("i"), *sides).dropna(), n)
+        rows = self.tables[name].select(F.col(INDEX).cast("long").alias("i"), *sides).dropna()
+        hits = boxes.first_boxes(points, rows, n, self.count(name) >= boxes.MANY_BOXES)
         hits = hits.withColumnsRenamed({f"x{i}": f"{at}v{i}" for i in range(n)} | {"at": at})
         same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{at}v{i}") for i, c in enumerate(own)])
         self.df = base.join(hits, same, "left").drop(*own, *[f"{at}v{i}" for i in range(n)])

@@ -162,3 +162,39 @@ def test_boxes_against_pairs(spark, monkeypatch):
         assert len(out) == len(expected) > 100
 
 
+def test_many_boxes_deal_few(spark, monkeypatch):
+    """Boxes of low indices come first; of the others only those that may hold a point that is left are dealt. Odd values too."""
+    import numpy as np
+    from ruleweave.operators import boxes as B
+
+    monkeypatch.setattr(B, "MANY_BOXES", 1, raising=False)
+    monkeypatch.setattr(B, "CELL_POINTS", 100)
+    met, frame = [], type(spark.range(0))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, kind, *a, **b: (met.append((self, kind)), plain(self, f, kind, *a, **b))[1])
+    rng = np.random.default_rng(11)
+    le = lambda a, b: (a <= b) | np.isnan(b)  # noqa: E731  NaN is above all others
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0]
+    for dims, strange in ((1, True), (2, True), (3, True), (2, False)):
+        n = 3000 if strange else 20_000
+        x = rng.uniform(0, 1000, (2000, dims))
+        price = rng.uniform(1, 1000, n)
+        # as a price and its share more, and as a key and the price: points above the diagonal are never held
+        lo, hi = np.stack([price, *[rng.uniform(0, 30, n)] * (dims - 1)], axis=1), np.stack([price * 1.02, *[price] * (dims - 1)], axis=1)
+        if strange:
+            x[:40], lo[:40], hi[-40:] = (rng.choice([*odd, 7.0], (40, dims)) for _ in range(3))
+        x, i = np.unique(x, axis=0), rng.permutation(n) * 3
+        expected = {}
+        for p in x:
+            held = i[(le(lo, p) & le(p, hi)).all(axis=1)]
+            if len(held):
+                expected[tuple(map(repr, p + 0.0))] = held.min()
+        points = spark.createDataFrame(x.tolist(), ", ".join(f"x{d} double" for d in range(dims))).distinct()
+        names = "i long, " + ", ".join(f"lo{d} double, hi{d} double" for d in range(dims))
+        rows = [(int(k), *[float(v) for pair in zip(a, b, strict=True) for v in pair]) for k, a, b in zip(i, lo, hi, strict=True)]
+        out = B.first_boxes(points, spark.createDataFrame(rows, names), dims).collect()
+        assert {tuple(repr(np.float64(v) + 0.0) for v in r[:dims]): r["at"] for r in out} == expected
+        assert len(out) == len(expected) > 100
+    both, kind = met[-1]
+    assert kind.endswith("at long") and both.where("i is not null").count() < n / 2
+    assert B.first_boxes(points.where("x0 < 0"), spark.createDataFrame(rows, names), dims).collect() == []
